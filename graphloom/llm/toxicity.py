@@ -1,6 +1,6 @@
 """A toxicity classifier that is regularised by counterfactuals.
 
-Logistic regression over hashed words. For each labelled text that mentions a group, a copy with the
+Logistic regression over hashed words and word beginnings, which inflected forms share. For each labelled text that mentions a group, a copy with the
 identity terms swapped for others of their kind is made; training penalises the change of score between
 the two, so that the mention of a group says little by itself.
 """
@@ -38,10 +38,23 @@ def words_of(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split())
 
 
+_SLOTS: dict[int, dict[bytes, tuple[int, ...]]] = {}
+
+
+def slots_of(words: set[bytes], bits: int) -> set[int]:
+    """Slots of the words and of their first four and five bytes, each once."""
+    known, out, mask = _SLOTS.setdefault(bits, {}), set(), (1 << bits) - 1
+    if len(known) > 500_000:
+        known.clear()
+    for w in words:
+        if (own := known.get(w)) is None:
+            own = known[w] = tuple(zlib.crc32(x) & mask for x in {w, *(w[:n] + b"*" for n in (4, 5) if len(w) > n)})
+        out.update(own)
+    return out
+
+
 def hashed(words: set[bytes], bits: int) -> np.ndarray:
-    """The words' slots, each once, in order."""
-    mask = (1 << bits) - 1
-    return np.unique(np.fromiter((zlib.crc32(w) & mask for w in words), np.int32, len(words)))
+    return np.array(sorted(slots_of(words, bits)), np.int32)
 
 
 @dataclass
@@ -51,8 +64,9 @@ class Classifier:
     bias: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        mask, crc, w = (1 << self.bits) - 1, zlib.crc32, self.weights
-        z = np.array([w[np.fromiter({crc(x) & mask for x in words_of(t)}, np.int64)].sum() for t in texts]) if texts else np.zeros(0)
+        heavy = dict(zip((at := np.flatnonzero(self.weights)).tolist(), self.weights[at].tolist(), strict=True))
+        told = heavy.keys()
+        z = np.array([sum(sorted(heavy[i] for i in told & slots_of(words_of(t), self.bits))) for t in texts], np.float64)
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -40, 40)))
 
 
