@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, written
 
 CHUNK = 65_536  # bytes of a chunk of the transfer framing
-RECORD = "record_id string, page_id long, type string, segment int, origin string, total long, refers_to string, digest string, framed boolean, body binary"
+RECORD = "record_id string, page_id long, type string, segment int, origin string, total long, refers_to string, digest string, framed boolean, body binary, payload_bytes long, payload_digest string"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -42,7 +42,7 @@ def _record_id(*parts: object) -> str:
 
 def _member(headers: list[tuple[str, object]], block: bytes) -> bytes:
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", len(block))])
-    return gzip.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+    return gzip.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n", 4, mtime=0)
 
 
 def _chunked(payload: bytes) -> bytes:
@@ -145,29 +145,48 @@ def _parsed(content: bytes) -> Iterator[dict]:
         yield h | {"block": rest[:length]}
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("type", pa.string()), ("segment", pa.int32()), ("origin", pa.string()), ("total", pa.int64()), ("refers_to", pa.string()), ("digest", pa.string()), ("framed", pa.bool_()), ("body", pa.binary())])
-    for b in batches:
-        for content in b.column(0):
-            rows: list[dict] = []
-            held = 0
-            for h in _parsed(content.as_buffer().to_pybytes()):
-                kind, block, http = h["warc-type"], h["block"], b""
-                if kind != "continuation" and b"\r\n\r\n" in block:
-                    http, block = block.split(b"\r\n\r\n", 1)
-                number = int(h.get("warc-segment-number", 0))
-                rows.append({
-                    "record_id": h["warc-record-id"], "page_id": int(h["x-page-id"]) if "x-page-id" in h else None, "type": kind, "segment": number,
-                    "origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                    "refers_to": h.get("warc-refers-to"), "digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                    "framed": b"transfer-encoding: chunked" in http.lower(), "body": http + b"\r\n\r\n" + block if number and http else block,
-                })
-                held += len(block)
-                if held > 16_000_000:
+def _reader(settle: bool):
+    """Reads archives into rows; with ``settle`` whole responses are decoded at once and only their size and digest go on."""
+    kinds = {"page_id": pa.int64(), "segment": pa.int32(), "total": pa.int64(), "framed": pa.bool_(), "body": pa.binary(), "payload_bytes": pa.int64()}
+    schema = pa.schema([(n, kinds.get(n, pa.string())) for n in (f.split(" ")[0] for f in RECORD.split(", "))])
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                rows: list[dict] = []
+                held = 0
+                for h in _parsed(content.as_buffer().to_pybytes()):
+                    kind, block, http = h["warc-type"], h["block"], b""
+                    if kind != "continuation" and b"\r\n\r\n" in block:
+                        http, block = block.split(b"\r\n\r\n", 1)
+                    number = int(h.get("warc-segment-number", 0))
+                    row = {
+                        "record_id": h["warc-record-id"], "page_id": int(h["x-page-id"]) if "x-page-id" in h else None, "type": kind, "segment": number,
+                        "origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
+                        "refers_to": h.get("warc-refers-to"), "digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+                        "framed": b"transfer-encoding: chunked" in http.lower(), "body": http + b"\r\n\r\n" + block if number and http else block,
+                    }
+                    if settle and not number:
+                        payload = _decoded(block, row["framed"], row["digest"]) if kind == "response" else None
+                        row |= {"body": None, "payload_bytes": None if payload is None else len(payload), "payload_digest": None if payload is None else row["digest"] or _b32(payload)}
+                    rows.append(row)
+                    held += len(row["body"] or b"")
+                    if held > 16_000_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, held = [], 0
+                if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return records
+
+
+def _decoded(body: bytes, framed: bool, digest: str | None) -> bytes | None:
+    """The payload, or None where its framing is broken or its digest isn't the one given."""
+    try:
+        payload = dechunked(body) if framed else body
+    except ValueError:
+        return None
+    return payload if digest is None or _b32(payload) == digest else None
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,56 +194,65 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for row in b.to_pylist():
-            body, framed, ok = row["body"], row["framed"], True
+            body, framed, ok, copies = row["body"], row["framed"], True, 1
             if row["parts"] is not None:
-                parts = sorted(row["parts"], key=lambda p: p["segment"])
-                body = b"".join(p["body"] for p in parts)
-                total = next((p["total"] for p in parts if p["total"] is not None), None)
-                ok = [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) and total == len(body)
+                parts = {p["segment"]: p for p in row["parts"]}
+                copies = max(1, sum(p["segment"] == 1 for p in row["parts"]))  # rows that repeat a page repeat its records
+                order = sorted(parts)
+                body = b"".join(parts[i]["body"] for i in order)
+                total = next((p["total"] for p in row["parts"] if p["total"] is not None), None)
+                ok = order == list(range(1, len(order) + 1)) and len(row["parts"]) == copies * len(order) and total == len(body)
                 body = body.split(b"\r\n\r\n", 1)[1] if ok else None
-            try:
-                payload = (dechunked(body) if framed else body) if ok else None
-            except ValueError:
-                payload = None
-            ok = payload is not None and (row["digest"] is None or _b32(payload) == row["digest"])
-            out.append({"record_id": row["record_id"], "page_id": row["page_id"], "payload": payload, "verified": ok})
+            payload = _decoded(body, framed, row["digest"]) if ok else None
+            out += [{"record_id": row["record_id"], "page_id": row["page_id"], "payload": payload, "verified": payload is not None}] * copies
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("payload", pa.binary()), ("verified", pa.bool_())]))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, settle: bool = False) -> DataFrame:
     """One row per record of the archives under ``path``; bodies as stored."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_records, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_reader(settle), RECORD)
+
+
+SEGMENTS = "array<struct<segment:int,total:long,body:binary>>"
+
+
+def reassembled(records: DataFrame) -> DataFrame:
+    """Segments grouped by origin: ``record_id, page_id, digest, framed, body (null), parts``."""
+    parts = records.filter("segment > 0").groupBy("origin").agg(
+        F.first("page_id", ignorenulls=True).alias("page_id"), F.first("digest", ignorenulls=True).alias("digest"), F.max("framed").alias("framed"), F.collect_list(F.struct("segment", "total", "body")).alias("parts")
+    )
+    return parts.select(F.col("origin").alias("record_id"), "page_id", "digest", "framed", F.lit(None).cast("binary").alias("body"), F.col("parts").cast(SEGMENTS).alias("parts"))
+
+
+PAYLOAD = "record_id string, page_id long, payload binary, verified boolean"
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``record_id, page_id, payload, verified`` of response records, their segments put together.
 
-    Whole records aren't shuffled; only segments are, grouped by origin. A payload with a missing segment,
-    a wrong total length or broken framing is null; ``verified`` says whether length and digest hold.
+    Whole records aren't shuffled; only segments are, grouped by origin. The payload is null and ``verified``
+    false where a segment is missing, the total length or the digest doesn't hold, or framing is broken.
     """
     records = read_records(spark, path)
-    seg = "array<struct<segment:int,total:long,body:binary>>"
-    whole = records.filter("segment = 0 and type = 'response'").select("record_id", "page_id", "digest", "framed", "body", F.lit(None).cast(seg).alias("parts"))
-    parts = records.filter("segment > 0").groupBy("origin").agg(
-        F.first("page_id", ignorenulls=True).alias("page_id"), F.first("digest", ignorenulls=True).alias("digest"), F.max("framed").alias("framed"), F.collect_list(F.struct("segment", "total", "body")).alias("parts")
-    )
-    joined = parts.select(F.col("origin").alias("record_id"), "page_id", "digest", "framed", F.lit(None).cast("binary").alias("body"), F.col("parts").cast(seg).alias("parts"))
-    return whole.unionByName(joined).mapInArrow(_payloads, "record_id string, page_id long, payload binary, verified boolean")
+    whole = records.filter("segment = 0 and type = 'response'").select("record_id", "page_id", "digest", "framed", "body", F.lit(None).cast(SEGMENTS).alias("parts"))
+    return whole.unionByName(reassembled(records)).mapInArrow(_payloads, PAYLOAD)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Per record ``page_id, payload_bytes, payload_digest, record_type, refers_to``, of the payloads as read back.
 
-    A revisit's size and the page that it refers to come from the response that it names.
+    Archives are read once: whole responses are decoded and measured where they are read, segments are kept
+    for reassembly. A revisit's size and the page that it refers to come from the response that it names.
     """
-    responses = read_responses(spark, path).select("record_id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("verified"), base32_sha1(F.col("payload"))).alias("payload_digest"))
-    revisits = read_records(spark, path).filter("type = 'revisit'").select("page_id", "refers_to", "digest")
+    records = written(read_records(spark, path, settle=True), "warc-records")
+    whole = records.filter("segment = 0 and type = 'response'").select("record_id", "page_id", "payload_bytes", "payload_digest")
+    put_together = reassembled(records).mapInArrow(_payloads, PAYLOAD)
+    responses = whole.unionByName(put_together.select("record_id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")))
+    revisits = records.filter("type = 'revisit'").select("page_id", "refers_to", "digest")
     named = responses.select("record_id", F.col("page_id").alias("response_id"), "payload_bytes", "payload_digest").distinct()
     again = revisits.join(named, (F.col("refers_to") == F.col("record_id")) & (F.col("digest") == F.col("payload_digest")), "left")
     out = ["page_id", "payload_bytes", "payload_digest"]
-    return responses.select(*out, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(
-        again.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("response_id").alias("refers_to"))
-    )
+    return responses.select(*out, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(again.select(*out, F.lit("revisit").alias("record_type"), F.col("response_id").alias("refers_to")))
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
