@@ -132,12 +132,12 @@ def frames_of(data: bytes) -> dict:
     """Frames, table, tags, junk and checksum failures of a stream; ``offsets`` are the audio frames' places.
 
     A first frame must be followed by one of its kind or by the end; after a loss the next such place is
-    sought, or a frame of the same kind as before whose checksum holds. A last frame that the stream cuts
-    short isn't a frame.
+    sought. A frame whose own checksum holds needs no neighbour. A last frame that the stream cuts short
+    isn't a frame.
     """
     at, end, text = tags(data)
     out = {"tags": text, "table": None, "offsets": [], "bad_crc": 0, "junk": 0, "samples": {}, "kinds": set()}
-    kind, first, locked = None, True, None
+    kind, first = None, True
 
     def sound(h: dict, at: int) -> bool:
         return int.from_bytes(data[at + 4 : at + 6], "big") == crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]])
@@ -147,7 +147,7 @@ def frames_of(data: bytes) -> dict:
         same = h and kind == (h["version"], h["layer"], h["rate"])
         if h and not same:
             after = header(data, at + h["size"])
-            same = locked == (h["version"], h["layer"], h["rate"]) and h["checked"] and h["layer"] == 3 and sound(h, at)
+            same = h["checked"] and h["layer"] == 3 and sound(h, at)
             same = same or at + h["size"] == end or bool(after) and (after["version"], after["layer"], after["rate"]) == (h["version"], h["layer"], h["rate"])
         if not h or not same or at + h["size"] > end:
             nxt = data.find(b"\xff", at + 1, end)
@@ -155,7 +155,7 @@ def frames_of(data: bytes) -> dict:
             out["junk"] += nxt - at
             at, kind = nxt, None
             continue
-        kind = locked = (h["version"], h["layer"], h["rate"])
+        kind = (h["version"], h["layer"], h["rate"])
         if h["checked"] and h["layer"] == 3 and not sound(h, at):
             out["bad_crc"] += 1
         table = vbr_table(data, at, h) if first and h["layer"] == 3 else None
