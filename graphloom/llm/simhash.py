@@ -10,6 +10,8 @@ histograms of the whole table, then probes the values within T[i] flips of its o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -216,11 +218,70 @@ def size_class(n: np.ndarray, ratio: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / -np.log(ratio) + 1e-9).astype(np.int64)
 
 
-def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, ratio: float = 0.0, check_cost: float = 0.02) -> DataFrame:
+@dataclass
+class Index:
+    """What a pigeonhole index of one family's fingerprints is built on; its size doesn't depend on the table's."""
+
+    n_rows: int
+    groups: list[list[int]]
+    tables: list[list[np.ndarray]]
+
+
+def plan_index(rows: DataFrame, radius: int, partitions: int) -> Index:
+    n_rows = rows.count()
+    groups = group_bits(bit_counts(rows), n_rows, partitions)
+    return Index(n_rows, groups, distance_tables(histograms(rows, groups), radius))
+
+
+def bucket_keys(part: int, v: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The partition's value, mixed with the partition and the class of n."""
+    return _again(v ^ (np.uint64(part + 1) << np.uint64(58)) ^ kind.astype(np.uint64) << np.uint64(50), 1).view(np.int64)
+
+
+def bucket_kinds(n: np.ndarray, ratio: float) -> np.ndarray:
+    return size_class(n, ratio) + 1 if ratio else np.zeros(len(n), np.int64)
+
+
+def buckets(rows: DataFrame, groups: list[list[int]], ratio: float, shifts: tuple[int, ...]) -> DataFrame:
+    """``rows`` (``id, fp, n, comp``) once for each partition's value, with its ``key``."""
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v, kind = b["fp"].to_numpy(), bucket_kinds(b["n"].to_numpy(), ratio)
+            for i, bits in enumerate(groups):
+                for shift in shifts:
+                    yield pd.DataFrame({"key": bucket_keys(i, project(v, bits), kind + shift), "id": b["id"], "fp": v, "n": b["n"], "comp": b["comp"]})
+
+    return rows.select("id", "fp", "n", "comp").mapInPandas(index, "key long, id long, fp long, n long, comp long")
+
+
+def star_links(rows: DataFrame, index: Index, radius: int = 3, ratio: float = 0.0, stars: int = 3) -> DataFrame:
+    """Some of the pairs that ``hamming_links`` finds: each member of a bucket with a few chosen ones: that nearest to
+    the bucket's majority fingerprint, which stands for the text that the others were made from, and
+    ``stars`` at random.
+
+    A group of thousands of near copies fills its buckets, so these few links a member join nearly all of
+    it, and the search for the rest needn't list the pairs within. Rows grow with the table, not with the
+    square of a group. Chosen members differ from bucket to bucket; they are minima, pre-aggregated.
+    """
+    members = buckets(rows, index.groups, ratio, (0,))
+    bit = lambda b: F.shiftright("fp", b).bitwiseAND(F.lit(1))
+    found = members.groupBy("key").agg(F.count("*").alias("held"), *(F.sum(bit(b)).alias(f"b{b}") for b in range(64))).filter("held > 1")
+    middle = found.select("key", reduce(Column.bitwiseOR, [F.when(2 * F.col(f"b{b}") > F.col("held"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)]).alias("middle"))
+    ranks = [F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).cast("long"), *(F.lit(0).cast("long") for _ in range(stars))]
+    chosen = members.join(middle, "key").groupBy("key").agg(*(F.min(F.struct(r.alias("far"), F.xxhash64("id", "key", F.lit(k)).alias("by"), "id", "fp", "n")).alias(f"c{k}") for k, r in enumerate(ranks)))
+    centres = chosen.select("key", F.array_distinct(F.array(*(F.struct(f"c{k}.id", f"c{k}.fp", f"c{k}.n") for k in range(stars + 1)))).alias("centres"))
+    near = F.filter("centres", lambda c: (c["id"] != F.col("id")) & (F.bit_count(c["fp"].bitwiseXOR(F.col("fp"))) <= radius) & (F.least(c["n"], F.col("n")) >= F.lit(ratio) * F.greatest(c["n"], F.col("n"))))
+    met = members.join(centres, "key").select("id", F.explode(F.transform(near, lambda c: c["id"])).alias("centre"))
+    return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, ratio: float = 0.0, check_cost: float = 0.02, index: Index | None = None) -> DataFrame:
     """Every pair of ids ``a < b`` whose fingerprints differ in at most ``radius`` bits, once.
 
     ``rows`` has ``id, fp, n`` with each id once. With ``ratio`` only pairs count whose smaller ``n`` is at
-    least that share of the larger; the classes of n then are part of the keys. A pair is found from its
+    least that share of the larger; the classes of n then are part of the keys. A column ``comp`` says what
+    is joined already: pairs within one component are left out. A pair is found from its
     member with the smaller id, whose probes cover everything within the radius. Two partitions of 32 bits
     keep buckets near-empty up to billions of fingerprints at 66 probes each for radius 3; equal keys meet
     in an equi-join, whose hot keys Spark splits at run time. A pair that several partitions match is listed
@@ -228,32 +289,19 @@ def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, ratio:
     """
     if not 0 <= radius < 64 or not 1 <= partitions <= radius + 1:
         raise ValueError("needs 0 <= radius < 64 and 1 <= partitions <= radius + 1")
-    n_rows = rows.count()
-    groups = group_bits(bit_counts(rows), n_rows, partitions)
+    index = index or plan_index(rows, radius, partitions)
+    if "comp" not in rows.columns:
+        rows = rows.withColumn("comp", F.col("id"))
+    n_rows, groups, tables = index.n_rows, index.groups, index.tables
     widths = [len(g) for g in groups]
     masks = [sum(1 << b for b in g) for g in groups]
-    tables = distance_tables(histograms(rows, groups), radius)
-
-    def keys(part: int, v: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """The partition's value, mixed with the partition and the class of n."""
-        return _again(v ^ (np.uint64(part + 1) << np.uint64(58)) ^ kind.astype(np.uint64) << np.uint64(50), 1).view(np.int64)
-
-    def kinds(n: np.ndarray) -> np.ndarray:
-        return size_class(n, ratio) + 1 if ratio else np.zeros(len(n), np.int64)
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            v, kind = b["fp"].to_numpy(), kinds(b["n"].to_numpy())
-            for i, bits in enumerate(groups):
-                for shift in (-1, 0, 1) if ratio else (0,):
-                    yield pd.DataFrame({"key": keys(i, project(v, bits), kind + shift), "id": b["id"], "fp": v, "n": b["n"]})
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 2048):
                 c = b.iloc[at : at + 2048]
                 own, ids, ns = c["fp"].to_numpy(), c["id"].to_numpy(), c["n"].to_numpy()
-                kind = kinds(ns)
+                comps, kind = c["comp"].to_numpy(), bucket_kinds(ns, ratio)
                 parts = [project(own, bits) for bits in groups]
                 allowed = allocate(parts, tables, widths, n_rows, radius, check_cost)
                 # what the pairs of earlier partitions are told by: four bits for each threshold + 1
@@ -265,14 +313,13 @@ def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, ratio:
                         for to in range(0, at_e.size, step := max(1, 200_000 // max(1, len(flip)))):
                             some = at_e[to : to + step]
                             each = np.repeat(some, len(flip))
-                            yield pd.DataFrame({"key": keys(i, (parts[i][some][:, None] ^ flip[None, :]).ravel(), kind[each]), "id": ids[each], "fp": own[each], "n": ns[each], "part": np.int8(i), "told": told[each]})
+                            yield pd.DataFrame({"key": bucket_keys(i, (parts[i][some][:, None] ^ flip[None, :]).ravel(), kind[each]), "id": ids[each], "fp": own[each], "n": ns[each], "comp": comps[each], "part": np.int8(i), "told": told[each]})
 
-    shape = "key long, id long, fp long, n long"
-    left = rows.select("id", "fp", "n").mapInPandas(probes, shape + ", part byte, told long").alias("p")
-    right = rows.select("id", "fp", "n").mapInPandas(index, shape).alias("i")
+    left = rows.select("id", "fp", "n", "comp").mapInPandas(probes, "key long, id long, fp long, n long, comp long, part byte, told long").alias("p")
+    right = buckets(rows, groups, ratio, (-1, 0, 1) if ratio else (0,)).alias("i")
     apart = F.col("p.fp").bitwiseXOR(F.col("i.fp"))
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    near = (F.col("p.key") == F.col("i.key")) & (F.col("p.id") < F.col("i.id")) & (F.bit_count(apart) <= radius)
+    near = (F.col("p.key") == F.col("i.key")) & (F.col("p.id") < F.col("i.id")) & (F.bit_count(apart) <= radius) & (F.col("p.comp") != F.col("i.comp"))
     if ratio:
         near &= F.least("p.n", "i.n") >= F.lit(ratio) * F.greatest("p.n", "i.n")
     for j in range(partitions):
@@ -309,7 +356,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: i
     (doc_id, text_key). Null and blank texts have fingerprint 0; they link like others. Null doc_ids come
     last and get a null component_id only where the class has no other; rows equal in doc_id and text come
     out alike; an empty table gives no rows. Copies are pre-aggregated, so a hot group of them costs one
-    row in the link search.
+    row in the link search; a hot group of near copies is joined by stars first, and only pairs between
+    what is not yet joined are listed then.
     """
     families = families if similarity else 1
     sketch = simhash(F.col("text"), size, seed, families)
@@ -317,13 +365,18 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: i
     own = own.withColumn("id", F.col("text_key") if similarity else F.col("f0"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))
     classes = written(own.groupBy("id").agg(F.min(order).alias("first"), F.first("n").alias("n"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(families))), "classes")
-    links = None
-    for k in range(families):
-        found = hamming_links(classes.select("id", F.col(f"f{k}").alias("fp"), "n"), radius, partitions, similarity or 0.0)
-        links = found if links is None else links.union(found)
-    if similarity:
-        links = jaccard_links(docs, written(links.distinct(), "links"), size, seed, similarity)
-    roots = connected_components(links, "a", "b")
+    family = [classes.select("id", F.col(f"f{k}").alias("fp"), "n") for k in range(families)]
+    index = [plan_index(rows, radius, partitions) for rows in family]
+
+    def true_links(found: list[DataFrame], label: str) -> DataFrame:
+        links = written(reduce(DataFrame.union, found).distinct(), label)
+        return written(jaccard_links(docs, links, size, seed, similarity), f"{label}-true") if similarity else links
+
+    stars = true_links([star_links(rows.withColumn("comp", F.col("id")), i, radius, similarity or 0.0) for rows, i in zip(family, index, strict=True)], "stars")
+    known = written(connected_components(stars, "a", "b"), "joined").withColumnsRenamed({"node": "id", "root": "comp"})
+    joined = [rows.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")) for rows in family]
+    rest = true_links([hamming_links(rows, radius, partitions, similarity or 0.0, index=i) for rows, i in zip(joined, index, strict=True)], "links")
+    roots = connected_components(stars.union(rest), "a", "b")
     rooted = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id"))
     least = rooted.groupBy("component").agg(F.min("first").alias("least"))
     known = rooted.select("id", "component").join(least, "component")
