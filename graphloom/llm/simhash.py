@@ -356,8 +356,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: i
     (doc_id, text_key). Null and blank texts have fingerprint 0; they link like others. Null doc_ids come
     last and get a null component_id only where the class has no other; rows equal in doc_id and text come
     out alike; an empty table gives no rows. Copies are pre-aggregated, so a hot group of them costs one
-    row in the link search; a hot group of near copies is joined by stars first, and only pairs between
-    what is not yet joined are listed then.
+    row in the link search; with a ``similarity``, a hot group of near copies is joined by stars first, and
+    only pairs between what is not yet joined are listed then.
     """
     families = families if similarity else 1
     sketch = simhash(F.col("text"), size, seed, families)
@@ -372,11 +372,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: i
         links = written(reduce(DataFrame.union, found).distinct(), label)
         return written(jaccard_links(docs, links, size, seed, similarity), f"{label}-true") if similarity else links
 
-    stars = true_links([star_links(rows.withColumn("comp", F.col("id")), i, radius, similarity or 0.0) for rows, i in zip(family, index, strict=True)], "stars")
-    known = written(connected_components(stars, "a", "b"), "joined").withColumnsRenamed({"node": "id", "root": "comp"})
-    joined = [rows.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")) for rows in family]
-    rest = true_links([hamming_links(rows, radius, partitions, similarity or 0.0, index=i) for rows, i in zip(joined, index, strict=True)], "links")
-    roots = connected_components(stars.union(rest), "a", "b")
+    joined, links = family, []
+    if similarity:  # without one, every pair within the radius is a link and stars would save little
+        links = [true_links([star_links(rows.withColumn("comp", F.col("id")), i, radius, similarity) for rows, i in zip(family, index, strict=True)], "stars")]
+        known = written(connected_components(links[0], "a", "b"), "joined").withColumnsRenamed({"node": "id", "root": "comp"})
+        joined = [rows.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")) for rows in family]
+    links.append(true_links([hamming_links(rows, radius, partitions, similarity or 0.0, index=i) for rows, i in zip(joined, index, strict=True)], "links"))
+    roots = connected_components(reduce(DataFrame.union, links), "a", "b")
     rooted = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id"))
     least = rooted.groupBy("component").agg(F.min("first").alias("least"))
     known = rooted.select("id", "component").join(least, "component")
