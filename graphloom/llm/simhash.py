@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_key, written
-from .components import connected_components
+from .components import connected_components, contracted
 
 BLOCK = 8  # bits of a sub-block, whose values have a histogram of 256 counts
 
@@ -369,8 +369,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: i
     index = [plan_index(rows, radius, partitions) for rows in family]
 
     def true_links(found: list[DataFrame], label: str) -> DataFrame:
-        links = written(reduce(DataFrame.union, found).distinct(), label)
-        return written(jaccard_links(docs, links, size, seed, similarity), f"{label}-true") if similarity else links
+        if not similarity:  # each pair is a link: what a task finds is contracted before it is written
+            return written(contracted(found[0]), label)
+        return written(jaccard_links(docs, written(reduce(DataFrame.union, found).distinct(), label), size, seed, similarity), f"{label}-true")
 
     joined, links = family, []
     if similarity:  # without one, every pair within the radius is a link and stars would save little
@@ -378,7 +379,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: i
         known = written(connected_components(links[0], "a", "b"), "joined").withColumnsRenamed({"node": "id", "root": "comp"})
         joined = [rows.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")) for rows in family]
     links.append(true_links([hamming_links(rows, radius, partitions, similarity or 0.0, index=i) for rows, i in zip(joined, index, strict=True)], "links"))
-    roots = connected_components(reduce(DataFrame.union, links), "a", "b")
+    roots = connected_components(reduce(DataFrame.union, (x.toDF("a", "b") for x in links)), "a", "b")
     rooted = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id"))
     least = rooted.groupBy("component").agg(F.min("first").alias("least"))
     known = rooted.select("id", "component").join(least, "component")
