@@ -336,7 +336,7 @@ def jaccard_links(docs: DataFrame, links: DataFrame, size: int, seed: int, simil
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, size, seed)).view(np.int64) for t in texts])
 
-    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    linked = links.select(F.col("a").alias("id")).distinct().union(links.select("b").distinct())
     texts = docs.select(text_key("text").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(linked, "id", "left_semi")
     sets = written(texts.dropDuplicates(["id"]).select("id", shingles("text").alias("s")), "shingles")
     both = links.join(sets.withColumnsRenamed({"id": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "y"}), "b")
