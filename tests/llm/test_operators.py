@@ -109,6 +109,15 @@ def test_links_are_whole(spark, radius, partitions, ratio):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_text_and_its_doubling_are_near_duplicates(spark):
+    r = random.Random(11)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(120))
+    other = " ".join(f"w{r.randrange(10**6)}" for _ in range(120))
+    rows = [(1, text), (2, f"{text} {text}"), (3, other)]
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(5, 5), (None, 3)] + [(i, i + 1) for i in range(400, 460)]
