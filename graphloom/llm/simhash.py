@@ -64,7 +64,7 @@ def _again(h: np.ndarray, family: int) -> np.ndarray:
 
 
 def simhash(text: Column, size: int = 5, seed: int = 42, families: int = 1, distinct: bool = False) -> Column:
-    """Struct of ``n`` (shingles, only different ones if ``distinct``) and ``f0 ..``: a signed long for each family, with the fingerprint's 64 bits.
+    """Struct of ``n`` (shingles) and ``f0 ..``: a signed long for each family, with the fingerprint's 64 bits. Both take each shingle once if ``distinct``.
 
     Null and blank texts have no shingles and fingerprint 0 in every family.
     """
@@ -74,7 +74,8 @@ def simhash(text: Column, size: int = 5, seed: int = 42, families: int = 1, dist
         out = np.zeros((len(texts), families + 1), np.uint64)
         for i, t in enumerate(texts):
             h = shingle_hashes(t, size, seed)
-            out[i] = [len(np.unique(h)) if distinct else len(h), *(majority(_again(h, k)) for k in range(families))]
+            h = np.unique(h) if distinct else h
+            out[i] = [len(h), *(majority(_again(h, k)) for k in range(families))]
         return pd.DataFrame(out.view(np.int64), columns=["n", *(f"f{k}" for k in range(families))])
 
     return fingerprints(text)
@@ -360,7 +361,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: i
     only pairs between what is not yet joined are listed then.
     """
     families = families if similarity else 1
-    # the similarity is one of sets, so only sizes of sets bound it
+    # the similarity is one of sets, so fingerprints and sizes are those of sets
     sketch = simhash(F.col("text"), size, seed, families, distinct=bool(similarity))
     own = written(docs.select("doc_id", text_key("text").alias("text_key"), sketch.alias("s")).select("doc_id", "text_key", "s.*"), "fingerprints")
     own = own.withColumn("id", F.col("text_key") if similarity else F.col("f0"))

@@ -118,6 +118,17 @@ def test_text_and_its_doubling_are_near_duplicates(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_texts_with_uneven_repeats_are_near_duplicates(spark):
+    r = random.Random(12)
+    passage = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(64)) + " "
+    rows = []
+    for i in range(10):
+        p, q = passage(), passage()
+        rows += [(2 * i, p + q), (2 * i + 1, 6 * p + q)]
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(20)}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(5, 5), (None, 3)] + [(i, i + 1) for i in range(400, 460)]
