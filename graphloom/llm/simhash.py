@@ -345,13 +345,14 @@ def jaccard_links(docs: DataFrame, links: DataFrame, size: int, seed: int, simil
     return both.filter(same >= F.lit(similarity) * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: int = 9, partitions: int = 5, families: int = 3, similarity: float | None = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: int = 9, partitions: int = 5, families: int = 8, similarity: float | None = 0.8) -> DataFrame:
     """Rows ``doc_id, text_key, fp, component_id, keep`` for every document.
 
     With a ``similarity``, texts link if the fingerprints of any family are within the radius and their
-    shingle sets have that Jaccard similarity; more families find more of the pairs near it (three at radius
-    9: about 0.8 of pairs at 0.80-0.85, 0.98 at 0.85-0.9, nearly all above). With ``similarity=None`` the
-    first family's fingerprints alone decide, and within the radius every link is found.
+    shingle sets have that Jaccard similarity; more families find more of the pairs near it. At 0.80 a pair is
+    within radius 9 in half of the families, so eight miss about 0.4 % there and next to none from 0.85 up.
+    With ``similarity=None`` the first family's fingerprints alone decide, and within the radius every link
+    is found.
 
     ``component_id`` is the smallest doc_id in the class, ``keep`` true for the member with the smallest
     (doc_id, text_key). Null and blank texts have fingerprint 0; they link like others. Null doc_ids come
