@@ -1,8 +1,9 @@
-"""Language identification with interpolated Kneser-Ney character models in sorted hash arrays.
+"""Language identification with interpolated Kneser-Ney character models in sorted arrays.
 
 Counts of character 4-grams come from every training text; lower orders are continuation counts, the
-numbers of distinct characters seen before. Grams fall into 2**bits hash slots per order and language, so
-the arrays that go to the tasks are bounded whatever the corpus holds. A text gets the language whose
+numbers of distinct characters seen before. Grams and contexts are kept as they are, packed into a long, so
+counts are never merged; the arrays that go to the tasks hold each distinct gram and context of the corpus
+once for each language and order, and grow with these. A text gets the language whose
 model has the lowest cross-entropy per character; a confidence and a rejection bound are calibrated on
 texts that the counts leave out.
 """
@@ -102,32 +103,28 @@ def hash64(x: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class SortedHashes:
-    """Values by hash slot, found by binary search."""
+class SortedGrams:
+    """Values by packed gram, found by binary search."""
 
-    slots: np.ndarray
+    grams: np.ndarray
     values: np.ndarray
 
-    def __call__(self, slots: np.ndarray) -> np.ndarray:
-        if not len(self.slots):
-            return np.zeros((len(slots), self.values.shape[1]))
-        at = np.minimum(np.searchsorted(self.slots, slots), len(self.slots) - 1)
-        return np.where((self.slots[at] == slots)[:, None], self.values[at], 0)
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return np.zeros((len(grams), self.values.shape[1]))
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where((self.grams[at] == grams)[:, None], self.values[at], 0)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    bits: int
-    tables: dict[tuple[str, int, str], SortedHashes]
+    tables: dict[tuple[str, int, str], SortedGrams]
     discounts: dict[tuple[str, int], float]
     alphabet: int
     right: list[float] = field(default_factory=lambda: [1.0] * BINS)
     bound: dict[str, float] = field(default_factory=dict)
 
-    def slots(self, x: np.ndarray) -> np.ndarray:
-        return (hash64(x) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
-
     def bits_of(self, packed: np.ndarray) -> np.ndarray:
         """-log2 P of each gram's last character after the others: grams x languages."""
         out = np.zeros((len(packed), len(self.languages)))
@@ -136,8 +133,8 @@ class Model:
             for n in range(1, ORDER + 1):
                 gram = packed & np.uint64((1 << (16 * n)) - 1) if n < 4 else packed
                 d = self.discounts.get((lang, n), 0.75)
-                c = self.tables[lang, n, "gram"](self.slots(gram))[:, 0]
-                total, kinds = self.tables[lang, n, "context"](self.slots(gram >> np.uint64(16))).T
+                c = self.tables[lang, n, "gram"](gram.view(np.int64))[:, 0]
+                total, kinds = self.tables[lang, n, "context"]((gram >> np.uint64(16)).view(np.int64)).T
                 known = np.maximum(total, 1)
                 p = np.where(total > 0, np.maximum(c - d, 0) / known + d * kinds / known * p, p)
             out[:, j] = -np.log2(np.maximum(p, 1e-12))
@@ -178,17 +175,15 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, *, bits: int = 20) -> Model:
+def fit(docs: DataFrame) -> Model:
     """Models of every language in ``docs`` (``lang``, ``text``; rows with a null are left out), over all texts."""
     four = written(gram_counts(docs.filter("lang is not null and text is not null")), "grams")
     tables, levels, discounts = {}, four.select("lang", "gram", F.col("n").alias("c")), {}
-    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
     parts, ones = [], []
     for n in range(ORDER, 0, -1):
         level = levels
-        context = F.shiftrightunsigned("gram", 16)
-        parts.append(level.groupBy("lang", slot(F.col("gram")).alias("slot")).agg(F.sum("c").alias("a"), F.lit(0).cast("long").alias("b")).withColumns({"n": F.lit(n), "kind": F.lit("gram")}))
-        parts.append(level.groupBy("lang", slot(context).alias("slot")).agg(F.sum("c").alias("a"), F.count("*").alias("b")).withColumns({"n": F.lit(n), "kind": F.lit("context")}))
+        parts.append(level.select("lang", "gram", F.col("c").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(2 * n).alias("kind")))
+        parts.append(level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("gram")).agg(F.sum("c").alias("a"), F.count("*").alias("b")).withColumn("kind", F.lit(2 * n + 1)))
         ones.append(level.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count("*").alias("kinds")).withColumn("n", F.lit(n)))
         if n > 1:
             levels = level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (16 * (n - 1))) - 1)).alias("gram")).agg(F.count("*").alias("c"))
@@ -199,22 +194,26 @@ def fit(docs: DataFrame, *, bits: int = 20) -> Model:
     for o in ones[1:]:
         stats = stats.unionByName(o)
     alphabet = 1
-    for r in stats.collect():
+    found = stats.collect()
+    for r in found:
         discounts[r["lang"], r["n"]] = r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] else 0.5
         alphabet = max(alphabet, r["kinds"] + 1) if r["n"] == 1 else alphabet
-    # at most languages x orders x 2 x 2**bits rows
-    t = rows.select("lang", "n", "kind", "slot", "a", "b").toArrow()
-    keys = np.array([f"{k}\t{n}\t{x}" for k, n, x in zip(t["kind"].to_pylist(), t["n"].to_pylist(), t["lang"].to_pylist(), strict=True)] or [], dtype=object)
-    slots, values = t["slot"].to_numpy(), np.stack([t["a"].to_numpy(), t["b"].to_numpy()], 1).astype(np.float32) if t.num_rows else np.zeros((0, 2), np.float32)
-    languages = sorted({k.split("\t", 2)[2] for k in set(keys.tolist())})
-    empty = SortedHashes(np.zeros(0, np.int64), np.zeros((0, 2), np.float32))
-    for lang in languages:
+    languages = sorted({r["lang"] for r in found})
+    empty = SortedGrams(np.zeros(0, np.int64), np.zeros((0, 2), np.float32))
+    if not languages:
+        return Model(languages, tables, discounts, alphabet)
+    # a number for each language, order and kind: what reaches the driver are numbers only, read as they lie in Arrow
+    of = F.element_at(F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i * 16))), F.col("lang")) + F.col("kind")
+    t = rows.select(of.alias("of"), "gram", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b")).toArrow()
+    which, grams_, values = t["of"].to_numpy(), t["gram"].to_numpy(), np.stack([t["a"].to_numpy(), t["b"].to_numpy()], 1)
+    order = np.lexsort((grams_, which))
+    which, grams_, values = which[order], grams_[order], values[order]
+    for i, lang in enumerate(languages):
         for n in range(1, ORDER + 1):
-            for kind in ("gram", "context"):
-                own = np.flatnonzero(keys == f"{kind}\t{n}\t{lang}")
-                own = own[np.argsort(slots[own], kind="stable")]
-                tables[lang, n, kind] = SortedHashes(slots[own], values[own]) if len(own) else empty
-    return Model(languages, bits, tables, discounts, alphabet)
+            for k, kind in enumerate(("gram", "context")):
+                a, z = np.searchsorted(which, [i * 16 + 2 * n + k, i * 16 + 2 * n + k + 1])
+                tables[lang, n, kind] = SortedGrams(grams_[a:z], values[a:z]) if z > a else empty
+    return Model(languages, tables, discounts, alphabet)
 
 
 def measure(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -289,9 +288,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     )
 
 
-def trained(docs: DataFrame, bits: int = 20) -> Model:
+def trained(docs: DataFrame) -> Model:
     """A calibrated model from labelled rows: one in thirty, by id, calibrates; the others are counted."""
-    return calibrate(fit(docs.filter(fold("doc_id", 30) != 3), bits=bits), docs.filter(fold("doc_id", 30) == 3))
+    return calibrate(fit(docs.filter(fold("doc_id", 30) != 3)), docs.filter(fold("doc_id", 30) == 3))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -388,6 +388,37 @@ def test_kneser_ney(spark):
         assert b == pytest.approx(-np.log2(max(p(tuple(g >> s & 0xFFFF for s in (48, 32, 16, 0))), 1e-12)), rel=1e-5)
 
 
+def test_grams_that_were_not_seen_have_no_counts(spark):
+    """Against the formula over plain dictionaries, with more distinct grams than fit a small table."""
+    r = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    text = lambda n: "".join(r.choices(letters, k=n))
+    seen = [text(2000) for _ in range(50)]
+    m = langid.fit(spark.createDataFrame([("x", t) for t in seen], "lang string, text string"))
+    four = Counter(tuple(s[i - 3 : i + 1]) for t in seen for s in [[0, 0, 0, *map(ord, t)]] for i in range(3, len(s)))
+    counts = {4: four}
+    for n in (3, 2, 1):
+        counts[n] = Counter(k[1:] for k in counts[n + 1])
+    totals, kinds = Counter(), Counter()
+    for c in counts.values():
+        for k, v in c.items():
+            totals[k[:-1], len(k)] += v
+            kinds[k[:-1], len(k)] += 1
+
+    def p(gram):
+        if not gram:
+            return 1 / m.alphabet
+        at = (gram[:-1], len(gram))
+        if not totals[at]:
+            return p(gram[1:])
+        d = m.discounts["x", len(gram)]
+        return max(counts[len(gram)][gram] - d, 0) / totals[at] + d * kinds[at] / totals[at] * p(gram[1:])
+
+    packed, _, _ = langid.grams([text(3000)])
+    for g, b in zip(packed.tolist(), m.bits_of(packed)[:, 0].tolist()):
+        assert b == pytest.approx(-np.log2(max(p(tuple(g >> s & 0xFFFF for s in (48, 32, 16, 0))), 1e-12)), rel=1e-5)
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(4)
     rows, labels = [], []
