@@ -9,13 +9,14 @@ histograms of the whole table, then probes the values within T[i] flips of its o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +41,38 @@ def shingle_hashes(text: str | None, size: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
 
 
-def majority(h: np.ndarray) -> int:
-    """Unsigned 64-bit SimHash: a bit is 1 if set in over half of the hashes; none: 0."""
-    n, counts = len(h), np.zeros(64, np.int64)
-    by_byte = np.ascontiguousarray(h).view(np.uint8).reshape(n, 8)
-    for at in range(0, n, 65536):
-        counts += np.unpackbits(by_byte[at : at + 65536], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")[0])
-
-
-def fingerprint_of(text: str | None, size: int, seed: int) -> int:
-    return majority(shingle_hashes(text, size, seed))
+LANES = np.array([sum(1 << 8 * b for b in range(8) if v >> b & 1) for v in range(256)], np.uint64)  # a byte's bits, one to a byte
+AT_ONCE = 200_000  # shingles whose bits are summed at once
+
+
+def _set_bits(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of hashes (from a start to the next) how many have each of the 64 bits set."""
+    ends = np.append(starts[1:], len(h))
+    blocks = -(-(ends - starts) // 255)  # a lane counts to 255
+    first = np.cumsum(blocks) - blocks
+    at = np.repeat(starts - 255 * first, blocks) + 255 * np.arange(blocks.sum())
+    lanes = np.add.reduceat(LANES[np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)], at, axis=0)
+    return np.add.reduceat(lanes.view(np.uint8).astype(np.int64).reshape(-1, 64), first, axis=0)
+
+
+def majorities(hashes: list[np.ndarray], families: int = 1) -> np.ndarray:
+    """Unsigned 64-bit SimHashes, texts x families: a bit is 1 if set in over half of a text's hashes; none: 0."""
+    n = np.array([len(h) for h in hashes], np.int64)
+    out = np.zeros((len(hashes), families), np.uint64)
+    some = np.flatnonzero(n)
+    for own in np.split(some, np.flatnonzero(np.diff(np.cumsum(n[some]) // AT_ONCE)) + 1):
+        if not own.size:
+            continue
+        h = np.concatenate([hashes[i] for i in own])
+        edges = np.cumsum(n[own])
+        for k in range(families):
+            counts = np.zeros((len(own), 64), np.int64)
+            for at in range(0, len(h), AT_ONCE):  # a very long text takes several rounds
+                lo, hi = np.searchsorted(edges, [at, min(at + AT_ONCE, len(h)) - 1], side="right")
+                inside = np.concatenate([[0], edges[lo:hi] - at])
+                counts[lo : hi + 1] += _set_bits(_again(h[at : at + AT_ONCE], k), inside)
+            out[own, k] = np.packbits((2 * counts > n[own, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
 def _again(h: np.ndarray, family: int) -> np.ndarray:
@@ -64,19 +86,16 @@ def _again(h: np.ndarray, family: int) -> np.ndarray:
 
 
 def simhash(text: Column, size: int = 5, seed: int = 42, families: int = 1, distinct: bool = False) -> Column:
-    """Struct of ``n`` (shingles) and ``f0 ..``: a signed long for each family, with the fingerprint's 64 bits. Both take each shingle once if ``distinct``.
+    """Struct of ``n`` (shingles) and ``fps``, a signed long for each family with the fingerprint's 64 bits. Both take each shingle once if ``distinct``.
 
     Null and blank texts have no shingles and fingerprint 0 in every family.
     """
 
-    @F.pandas_udf("n long, " + ", ".join(f"f{k} long" for k in range(families)))
+    @F.pandas_udf("n long, fps array<long>")
     def fingerprints(texts: pd.Series) -> pd.DataFrame:
-        out = np.zeros((len(texts), families + 1), np.uint64)
-        for i, t in enumerate(texts):
-            h = shingle_hashes(t, size, seed)
-            h = np.unique(h) if distinct else h
-            out[i] = [len(h), *(majority(_again(h, k)) for k in range(families))]
-        return pd.DataFrame(out.view(np.int64), columns=["n", *(f"f{k}" for k in range(families))])
+        h = [shingle_hashes(t, size, seed) for t in texts]
+        h = [np.unique(x) for x in h] if distinct else h
+        return pd.DataFrame({"n": [len(x) for x in h], "fps": list(majorities(h, families).view(np.int64))})
 
     return fingerprints(text)
 
@@ -85,32 +104,43 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(values.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def bit_counts(fps: DataFrame) -> np.ndarray:
-    """64 x 64 counts of bits set together, over all fingerprints; each task sends one matrix."""
+def tally(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray], None], cells: int) -> np.ndarray:
+    """Sums over all fingerprints (``fps``): each task lets ``add`` put its batches into a vector of ``cells`` and sends that."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((64, 64))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells)
         for b in batches:
-            x = _bits(b["fp"].to_numpy()).astype(np.float64)
-            total += x.T @ x
-        yield pd.DataFrame({"cell": np.arange(4096), "n": total.ravel()})
+            if b.num_rows:
+                add(total, b.column(0).flatten().to_numpy().reshape(b.num_rows, -1))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    t = rows.select("fps").mapInArrow(count, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells)
+    out[t["cell"].to_numpy()] = t["n"].to_numpy()
+    return out
 
-    rows = fps.select("fp").mapInPandas(count, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(4096)
-    for r in rows:
-        out[r["cell"]] = r["n"]
-    return out.reshape(64, 64)
 
+def bit_counts(rows: DataFrame, families: int) -> np.ndarray:
+    """For each family 64 x 64 counts of bits set together."""
 
-def group_bits(together: np.ndarray, n: int, m: int) -> list[list[int]]:
-    """Partitions of 64/m bits: each starts from the free bit tied most to others and takes in the most correlated."""
+    def add(total: np.ndarray, fps: np.ndarray) -> None:
+        for k in range(families):
+            x = _bits(fps[:, k]).astype(np.float32)
+            total[4096 * k : 4096 * (k + 1)] += (x.T @ x).ravel()
+
+    return tally(rows, add, families * 4096).reshape(families, 64, 64)
+
+
+def group_bits(together: np.ndarray, n: int, m: int, width: int | None = None) -> list[list[int]]:
+    """Partitions of ``width`` bits (64/m by default): each starts from the free bit tied most to others and takes in the most correlated."""
     p = np.diag(together) / max(n, 1)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     tie = np.abs((together / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd))
     np.fill_diagonal(tie, 0)
     free, groups = set(range(64)), []
     for i in range(m):
-        size = 64 // m + (i < 64 % m)
+        size = width or 64 // m + (i < 64 % m)
         order = sorted(free)
         own = [max(order, key=lambda b: (tie[b, order].sum(), -b))]
         free.remove(own[0])
@@ -134,26 +164,17 @@ def _sub_blocks(width: int) -> list[tuple[int, int]]:
     return [(at, min(BLOCK, width - at)) for at in range(0, width, BLOCK)]
 
 
-def histograms(fps: DataFrame, groups: list[list[int]]) -> list[list[np.ndarray]]:
-    """For each partition and sub-block the count of every value, over all fingerprints."""
+def histograms(rows: DataFrame, groups: list[list[list[int]]]) -> list[list[list[np.ndarray]]]:
+    """For each family, partition and sub-block the count of every value, over all fingerprints."""
+    blocks = [(f, bits, at, w) for f, parts in enumerate(groups) for bits in parts for at, w in _sub_blocks(len(bits))]
+    edges = np.cumsum([0] + [1 << w for *_, w in blocks]).tolist()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            v = b["fp"].to_numpy()
-            for i, bits in enumerate(groups):
-                x = project(v, bits)
-                for k, (at, w) in enumerate(_sub_blocks(len(bits))):
-                    part = ((x >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64)
-                    found[i, k] = found.get((i, k), 0) + np.bincount(part, minlength=1 << w)
-        for (i, k), n in found.items():
-            yield pd.DataFrame({"part": i, "block": k, "value": np.arange(len(n)), "n": n})
-
-    rows = fps.select("fp").mapInPandas(count, "part int, block int, value int, n long").groupBy("part", "block", "value").agg(F.sum("n").alias("n")).collect()
-    out = [[np.zeros(1 << w) for _, w in _sub_blocks(len(bits))] for bits in groups]
-    for r in rows:
-        out[r["part"]][r["block"]][r["value"]] = r["n"]
-    return out
+    def add(total: np.ndarray, fps: np.ndarray) -> None:
+        for (f, bits, at, w), lo in zip(blocks, edges, strict=False):
+            total[lo : lo + (1 << w)] += np.bincount(project(fps[:, f], bits[at : at + w]).astype(np.int64), minlength=1 << w)
+
+    found = iter(np.split(tally(rows, add, edges[-1]), edges[1:-1]))
+    return [[[next(found) for _ in _sub_blocks(len(bits))] for bits in parts] for parts in groups]
 
 
 def distance_tables(hist: list[list[np.ndarray]], radius: int) -> list[list[np.ndarray]]:
@@ -214,11 +235,6 @@ def flips(width: int, e: int) -> np.ndarray:
     return _FLIPS[width, e]
 
 
-def size_class(n: np.ndarray, ratio: float) -> np.ndarray:
-    """Class of a number of shingles; numbers whose ratio is at least ``ratio`` are in the same or neighbouring classes."""
-    return np.floor(np.log(np.maximum(n, 1)) / -np.log(ratio) + 1e-9).astype(np.int64)
-
-
 @dataclass
 class Index:
     """What a pigeonhole index of one family's fingerprints is built on; its size doesn't depend on the table's."""
@@ -227,73 +243,38 @@ class Index:
     groups: list[list[int]]
     tables: list[list[np.ndarray]]
 
+    def allowed(self, values: np.ndarray, radius: int, check_cost: float) -> tuple[list[np.ndarray], np.ndarray]:
+        """The values' partitions, and the threshold of each."""
+        parts = [project(values, bits) for bits in self.groups]
+        return parts, allocate(parts, self.tables, [len(g) for g in self.groups], self.n_rows, radius, check_cost)
 
-def plan_index(rows: DataFrame, radius: int, partitions: int) -> Index:
-    n_rows = rows.count()
-    groups = group_bits(bit_counts(rows), n_rows, partitions)
-    return Index(n_rows, groups, distance_tables(histograms(rows, groups), radius))
 
+def plan_index(rows: DataFrame, radius: int, partitions: int, width: int | None = None, families: int = 1) -> list[Index]:
+    """An index for each family of ``fps``: two passes over the table, which send vectors of a set length to the driver."""
+    n_rows = rows.count()
+    rows = rows.coalesce(-(-n_rows // 50_000) or 1)
+    groups = [group_bits(x, n_rows, partitions, width) for x in bit_counts(rows, families)]
+    return [Index(n_rows, g, distance_tables(h, radius)) for g, h in zip(groups, histograms(rows, groups), strict=True)]
 
-def bucket_keys(part: int, v: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """The partition's value, mixed with the partition and the class of n."""
-    return _again(v ^ (np.uint64(part + 1) << np.uint64(58)) ^ kind.astype(np.uint64) << np.uint64(50), 1).view(np.int64)
-
-
-def bucket_kinds(n: np.ndarray, ratio: float) -> np.ndarray:
-    return size_class(n, ratio) + 1 if ratio else np.zeros(len(n), np.int64)
-
-
-def buckets(rows: DataFrame, groups: list[list[int]], ratio: float, shifts: tuple[int, ...]) -> DataFrame:
-    """``rows`` (``id, fp, n, comp``) once for each partition's value, with its ``key``."""
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            v, kind = b["fp"].to_numpy(), bucket_kinds(b["n"].to_numpy(), ratio)
-            for i, bits in enumerate(groups):
-                for shift in shifts:
-                    yield pd.DataFrame({"key": bucket_keys(i, project(v, bits), kind + shift), "id": b["id"], "fp": v, "n": b["n"], "comp": b["comp"]})
-
-    return rows.select("id", "fp", "n", "comp").mapInPandas(index, "key long, id long, fp long, n long, comp long")
 
+def bucket_keys(part: int, v: np.ndarray) -> np.ndarray:
+    """The partition's value, mixed with its number."""
+    return _again(v ^ (np.uint64(part + 1) << np.uint64(40)), 1).view(np.int64)
 
-def star_links(rows: DataFrame, index: Index, radius: int = 3, ratio: float = 0.0, stars: int = 3) -> DataFrame:
-    """Some of the pairs that ``hamming_links`` finds: each member of a bucket with a few chosen ones: that nearest to
-    the bucket's majority fingerprint, which stands for the text that the others were made from, and
-    ``stars`` at random.
 
-    A group of thousands of near copies fills its buckets, so these few links a member join nearly all of
-    it, and the search for the rest needn't list the pairs within. Rows grow with the table, not with the
-    square of a group. Chosen members differ from bucket to bucket; they are minima, pre-aggregated.
-    """
-    members = buckets(rows, index.groups, ratio, (0,))
-    bit = lambda b: F.shiftright("fp", b).bitwiseAND(F.lit(1))
-    found = members.groupBy("key").agg(F.count("*").alias("held"), *(F.sum(bit(b)).alias(f"b{b}") for b in range(64))).filter("held > 1")
-    middle = found.select("key", reduce(Column.bitwiseOR, [F.when(2 * F.col(f"b{b}") > F.col("held"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)]).alias("middle"))
-    ranks = [F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).cast("long"), *(F.lit(0).cast("long") for _ in range(stars))]
-    chosen = members.join(middle, "key").groupBy("key").agg(*(F.min(F.struct(r.alias("far"), F.xxhash64("id", "key", F.lit(k)).alias("by"), "id", "fp", "n")).alias(f"c{k}") for k, r in enumerate(ranks)))
-    centres = chosen.select("key", F.array_distinct(F.array(*(F.struct(f"c{k}.id", f"c{k}.fp", f"c{k}.n") for k in range(stars + 1)))).alias("centres"))
-    near = F.filter("centres", lambda c: (c["id"] != F.col("id")) & (F.bit_count(c["fp"].bitwiseXOR(F.col("fp"))) <= radius) & (F.least(c["n"], F.col("n")) >= F.lit(ratio) * F.greatest(c["n"], F.col("n"))))
-    met = members.join(centres, "key").select("id", F.explode(F.transform(near, lambda c: c["id"])).alias("centre"))
-    return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-
-
-def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, ratio: float = 0.0, check_cost: float = 0.02, index: Index | None = None) -> DataFrame:
+def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, check_cost: float = 0.02) -> DataFrame:
     """Every pair of ids ``a < b`` whose fingerprints differ in at most ``radius`` bits, once.
 
-    ``rows`` has ``id, fp, n`` with each id once. With ``ratio`` only pairs count whose smaller ``n`` is at
-    least that share of the larger; the classes of n then are part of the keys. A column ``comp`` says what
-    is joined already: pairs within one component are left out. A pair is found from its
-    member with the smaller id, whose probes cover everything within the radius. Two partitions of 32 bits
+    ``rows`` has ``id`` (each once) and ``fps``, of which the first counts. A pair is found from its member
+    with the smaller id, whose probes cover everything within the radius. Two partitions of 32 bits
     keep buckets near-empty up to billions of fingerprints at 66 probes each for radius 3; equal keys meet
     in an equi-join, whose hot keys Spark splits at run time. A pair that several partitions match is listed
     by the first.
     """
     if not 0 <= radius < 64 or not 1 <= partitions <= radius + 1:
         raise ValueError("needs 0 <= radius < 64 and 1 <= partitions <= radius + 1")
-    index = index or plan_index(rows, radius, partitions)
-    if "comp" not in rows.columns:
-        rows = rows.withColumn("comp", F.col("id"))
-    n_rows, groups, tables = index.n_rows, index.groups, index.tables
+    [index] = plan_index(rows, radius, partitions)
+    groups = index.groups
     widths = [len(g) for g in groups]
     masks = [sum(1 << b for b in g) for g in groups]
 
@@ -301,10 +282,8 @@ def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, ratio:
         for b in batches:
             for at in range(0, len(b), 2048):
                 c = b.iloc[at : at + 2048]
-                own, ids, ns = c["fp"].to_numpy(), c["id"].to_numpy(), c["n"].to_numpy()
-                comps, kind = c["comp"].to_numpy(), bucket_kinds(ns, ratio)
-                parts = [project(own, bits) for bits in groups]
-                allowed = allocate(parts, tables, widths, n_rows, radius, check_cost)
+                own, ids = c["fp"].to_numpy(), c["id"].to_numpy()
+                parts, allowed = index.allowed(own, radius, check_cost)
                 # what the pairs of earlier partitions are told by: four bits for each threshold + 1
                 told = sum((allowed[:, i] + 1) << (4 * i) for i in range(partitions))
                 for i, w in enumerate(widths):
@@ -314,86 +293,241 @@ def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, ratio:
                         for to in range(0, at_e.size, step := max(1, 200_000 // max(1, len(flip)))):
                             some = at_e[to : to + step]
                             each = np.repeat(some, len(flip))
-                            yield pd.DataFrame({"key": bucket_keys(i, (parts[i][some][:, None] ^ flip[None, :]).ravel(), kind[each]), "id": ids[each], "fp": own[each], "n": ns[each], "comp": comps[each], "part": np.int8(i), "told": told[each]})
+                            yield pd.DataFrame({"key": bucket_keys(i, (parts[i][some][:, None] ^ flip[None, :]).ravel()), "id": ids[each], "fp": own[each], "part": np.int8(i), "told": told[each]})
 
-    left = rows.select("id", "fp", "n", "comp").mapInPandas(probes, "key long, id long, fp long, n long, comp long, part byte, told long").alias("p")
-    right = buckets(rows, groups, ratio, (-1, 0, 1) if ratio else (0,)).alias("i")
+    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v = b["fp"].to_numpy()
+            for i, bits in enumerate(groups):
+                yield pd.DataFrame({"key": bucket_keys(i, project(v, bits)), "id": b["id"], "fp": v})
+
+    own = rows.select("id", F.get("fps", F.lit(0)).alias("fp"))
+    left = own.mapInPandas(probes, "key long, id long, fp long, part byte, told long").alias("p")
+    right = own.mapInPandas(buckets, "key long, id long, fp long").alias("i")
     apart = F.col("p.fp").bitwiseXOR(F.col("i.fp"))
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    near = (F.col("p.key") == F.col("i.key")) & (F.col("p.id") < F.col("i.id")) & (F.bit_count(apart) <= radius) & (F.col("p.comp") != F.col("i.comp"))
-    if ratio:
-        near &= F.least("p.n", "i.n") >= F.lit(ratio) * F.greatest("p.n", "i.n")
+    near = (F.col("p.key") == F.col("i.key")) & (F.col("p.id") < F.col("i.id")) & (F.bit_count(apart) <= radius)
     for j in range(partitions):
         outside = F.bit_count(apart.bitwiseAND(F.lit(signed(masks[j])))) >= F.shiftright("p.told", 4 * j).bitwiseAND(F.lit(15))
-        own = F.bit_count(apart.bitwiseAND(F.lit(signed(masks[j])))) < F.shiftright("p.told", 4 * j).bitwiseAND(F.lit(15))
-        near &= ((F.col("p.part") <= j) | outside) & ((F.col("p.part") != j) | own)
+        inside = F.bit_count(apart.bitwiseAND(F.lit(signed(masks[j])))) < F.shiftright("p.told", 4 * j).bitwiseAND(F.lit(15))
+        near &= ((F.col("p.part") <= j) | outside) & ((F.col("p.part") != j) | inside)
     return left.join(right, near).select(F.col("p.id").alias("a"), F.col("i.id").alias("b"))
 
 
-def jaccard_links(docs: DataFrame, links: DataFrame, size: int, seed: int, similarity: float) -> DataFrame:
-    """The links ``a, b`` (text keys) whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``."""
+SMALL = 8  # members of a bucket whose pairs are listed in the join; larger buckets are verified in blocks
+BLOCK_ROWS = 256
+APART = 20  # bits of 62 in which fingerprints of similar texts may differ
+
+
+def width_for(rows: int) -> int:
+    """Bits of a partition: enough that a bucket holds few texts that only chance brings together."""
+    return min(64, max(17, int(np.ceil(np.log2(max(rows, 2)))) - 1))
+
+
+def families_for(similarity: float, partitions: int, width: int, recall: float) -> int:
+    """How many families find pairs of that similarity with that probability, by a partition that is equal in both.
+
+    Of two sets of equal size with Jaccard similarity s, fingerprints differ in a bit with probability
+    acos(2s / (1 + s)) / pi. Sets of unequal sizes are nearer.
+    """
+    equal = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** width
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-equal) / partitions))) if equal < 1 else 1
+
+
+def keyed(rows: DataFrame, index: list[Index], radius: int, check_cost: float) -> DataFrame:
+    """``key, id, mark`` for every partition of every family of ``rows`` (``id, fps``), and for each probe besides.
+
+    ``mark`` is the next family's fingerprint; its lowest bit says that the row probes, the next that it is
+    in the index. A partition with a threshold of 0 is one row for both.
+    """
+    m, families = len(index[0].groups), len(index)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                some = b.slice(at, 2048)
+                ids, fps = some.column(0).to_numpy(), some.column(1).flatten().to_numpy().reshape(some.num_rows, families)
+                keys, who, marks = [], [], []
+                for f, own in enumerate(index):
+                    parts, allowed = own.allowed(np.ascontiguousarray(fps[:, f]), radius, check_cost)
+                    mark = fps[:, (f + 1) % families] & ~np.int64(3)
+                    for i, v in enumerate(parts):
+                        keys.append(bucket_keys(m * f + i, v))
+                        who.append(ids)
+                        marks.append(mark | 2 | (allowed[:, i] >= 0))
+                        for e in range(1, radius + 1):
+                            at_e = np.flatnonzero(allowed[:, i] == e)
+                            if at_e.size:
+                                flip = flips(len(own.groups[i]), e)[1:]
+                                each = np.repeat(at_e, len(flip))
+                                keys.append(bucket_keys(m * f + i, (v[at_e][:, None] ^ flip[None, :]).ravel()))
+                                who.append(ids[each])
+                                marks.append(mark[each] | 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, who, marks)], names=["key", "id", "mark"])
+
+    return rows.select("id", "fps").mapInArrow(emit, "key long, id long, mark long")
+
+
+def small_pairs(keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of a bucket that isn't in ``hot``, found from the smaller id's probes, whose marks are near."""
+    few = keys.join(hot.select("key"), "key", "left_anti")
+    p, i = few.alias("p"), few.alias("i")
+    flag = lambda c, b: F.col(c).bitwiseAND(F.lit(b)) != 0
+    near = F.bit_count(F.shiftright(F.col("p.mark").bitwiseXOR(F.col("i.mark")), 2)) <= APART
+    met = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("p.id") < F.col("i.id")) & flag("p.mark", 1) & flag("i.mark", 2) & near)
+    return met.select(F.col("p.id").alias("a"), F.col("i.id").alias("b")).distinct()
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of each member of a bucket (``key, id, mark``) with a chosen one, that nearest to the bucket's majority mark,
+    which stands for the text that the others were made from.
+
+    A group of thousands of near copies fills its buckets, so these few links join nearly all of it. Rows
+    grow with the table, not with the square of a group; the chosen are minima, pre-aggregated.
+    """
+    bit = lambda b: F.shiftright("mark", b).bitwiseAND(F.lit(1))
+    sums = members.groupBy("key").agg(F.count("*").alias("held"), *(F.sum(bit(b)).alias(f"b{b}") for b in range(2, 64)))
+    middle = sums.select("key", reduce(Column.bitwiseOR, [F.when(2 * F.col(f"b{b}") > F.col("held"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(2, 64)]).alias("middle"))
+    far = F.bit_count(F.shiftright(F.col("mark").bitwiseXOR(F.col("middle")), 2))
+    chosen = members.join(middle, "key").groupBy("key").agg(F.min(F.struct(far.alias("far"), F.xxhash64("id").alias("by"), "id")).alias("near"))
+    met = members.join(chosen, "key").select("id", F.col("near.id").alias("centre")).filter("id <> centre")
+    return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int, seed: int) -> DataFrame:
+    """``id, s``: the sorted shingle hashes of the texts whose key is among ``ids``."""
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, size, seed)).view(np.int64) for t in texts])
 
-    linked = links.select(F.col("a").alias("id")).distinct().union(links.select("b").distinct())
-    texts = docs.select(text_key("text").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(linked, "id", "left_semi")
-    sets = written(texts.dropDuplicates(["id"]).select("id", shingles("text").alias("s")), "shingles")
-    both = links.join(sets.withColumnsRenamed({"id": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "y"}), "b")
+    texts = docs.select(text_key("text").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids.distinct(), "id", "left_semi")
+    return texts.dropDuplicates(["id"]).select("id", shingles("text").alias("s"))
+
+
+def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets have a Jaccard similarity of at least ``similarity``."""
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "y"}), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.filter(same >= F.lit(similarity) * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, radius: int = 9, partitions: int = 5, families: int = 8, similarity: float | None = 0.8) -> DataFrame:
+def overlaps(probes: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each probe how many values it shares with each target; all hold distinct values."""
+    owner = np.repeat(np.arange(len(targets)), [len(t) for t in targets])
+    values = np.concatenate(targets)
+    order = np.argsort(values, kind="stable")
+    owner, values = owner[order], values[order]
+    for p in probes:
+        lo, hi = np.searchsorted(values, p), np.searchsorted(values, p, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        yield np.bincount(owner[at], minlength=len(targets))
+
+
+def block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a < b`` between members of a bucket (``key, id, comp``) that aren't in one component yet, by their sets.
+
+    A bucket's largest component needs no pairs within itself: the other members are probes, which meet
+    everyone. Probes and members are dealt in blocks of about ``BLOCK_ROWS``, and a task compares one block
+    of each and returns links only, so neither a group nor a list of its pairs is ever held whole.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    per = parts.groupBy("key").agg(F.max_by("comp", "n").alias("big"), F.sum("n").alias("held"), F.max("n").alias("most")).filter("held > most")
+    per = per.select("key", "big", blocks(F.col("held")).alias("nt"), blocks(F.col("held") - F.col("most")).alias("np"))
+    of = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    dealt = members.join(per, "key").withColumns({"own_t": of("nt", 1), "own_p": of("np", 2)})
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda t, p: F.struct(t.alias("t"), p.alias("p"))
+    # as a target a member meets each block of probes, and as a probe each block of targets
+    as_target = F.transform(every("np"), lambda p: cell(F.col("own_t"), p))
+    as_probe = F.when(F.col("comp") != F.col("big"), F.transform(every("nt"), lambda t: cell(t, F.col("own_p")))).otherwise(F.array().cast("array<struct<t:int,p:int>>"))
+    cells = dealt.select("*", F.explode(F.array_union(as_target, as_probe)).alias("cell")).select("*", "cell.*")
+    roles = cells.select("key", "id", "comp", "t", "p", ((F.col("comp") != F.col("big")) & (F.col("p") == F.col("own_p"))).alias("probe"), (F.col("t") == F.col("own_t")).alias("target"))
+
+    def verify(t: pa.Table) -> pa.Table:
+        ids, comp, probe, target = (t[c].to_numpy() for c in ("id", "comp", "probe", "target"))
+        s = t["s"].combine_chunks()
+        flat, edge = s.flatten().to_numpy(), s.offsets.to_numpy() - s.offsets[0].as_py()
+        own = [flat[edge[i] : edge[i + 1]] for i in range(len(ids))]
+        a, b = np.flatnonzero(probe), np.flatnonzero(target)
+        out = np.zeros((0, 2), np.int64)
+        if a.size and b.size:
+            sizes = np.array([len(own[j]) for j in b])
+            for i, same in zip(a, overlaps([own[i] for i in a], [own[j] for j in b]), strict=True):
+                hit = b[(same >= similarity * (len(own[i]) + sizes - same)) & (comp[b] != comp[i])]
+                out = np.concatenate([out, np.stack([np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])], 1)])
+        out = np.unique(out, axis=0)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    return roles.join(sets, "id").groupBy("key", "t", "p").applyInArrow(verify, "a long, b long").distinct()
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, index: list[Index], size: int, seed: int, similarity: float, radius: int, check_cost: float) -> DataFrame:
+    """Links ``a, b`` (text keys) that join what a Jaccard similarity of ``similarity`` joins; ``classes`` has ``id, fps``.
+
+    Texts that share a key are candidates. In buckets of up to ``SMALL`` rows every pair with near marks is
+    verified; larger ones are joined by stars first, and what is then still apart is verified in blocks.
+    """
+    keys = written(keyed(classes, index, radius, check_cost), "keys")
+    hot = written(keys.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > SMALL), "hot-keys")
+    few = written(small_pairs(keys, hot), "pairs")
+    members = written(keys.join(hot.select("key"), "key").select("key", "id", "mark").distinct(), "members")
+    stars = written(star_pairs(members), "stars")
+    ids = few.select(F.col("a").alias("id")).union(few.select("b")).union(members.select("id"))
+    sets = written(shingle_sets(docs, ids, size, seed), "shingles")
+    found = written(jaccard_links(few.union(stars), sets, similarity), "links")
+    known = written(connected_components(found, "a", "b"), "joined").withColumnsRenamed({"node": "id", "root": "comp"})
+    apart = members.select("key", "id").join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    return found.union(written(block_links(apart, sets, similarity), "block-links"))
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, similarity: float | None = 0.8, recall: float = 0.997, radius: int = 3, partitions: int = 2) -> DataFrame:
     """Rows ``doc_id, text_key, fp, component_id, keep`` for every document.
 
-    With a ``similarity``, texts link if the fingerprints of any family are within the radius and their
-    shingle sets have that Jaccard similarity; more families find more of the pairs near it. At 0.80 a pair is
-    within radius 9 in half of the families, so eight miss about 0.4 % there and next to none from 0.85 up.
-    With ``similarity=None`` the first family's fingerprints alone decide, and within the radius every link
-    is found.
+    With ``similarity=None`` texts link if their fingerprints differ in at most ``radius`` bits, and every such
+    link is found. With a ``similarity`` they link if their shingle sets have that Jaccard similarity: families
+    of fingerprints give candidates, as many as find a pair at exactly that similarity with probability
+    ``recall``; each family's thresholds cover one bit less than it has partitions, whose width follows
+    from the number of texts. Verification is exact, so nothing false links.
 
     ``component_id`` is the smallest doc_id in the class, ``keep`` true for the member with the smallest
     (doc_id, text_key). Null and blank texts have fingerprint 0; they link like others. Null doc_ids come
     last and get a null component_id only where the class has no other; rows equal in doc_id and text come
-    out alike; an empty table gives no rows. Copies are pre-aggregated, so a hot group of them costs one
-    row in the link search; with a ``similarity``, a hot group of near copies is joined by stars first, and
-    only pairs between what is not yet joined are listed then.
+    out alike; an empty table gives no rows. Other columns of ``docs`` don't matter. Copies are pre-aggregated,
+    so a hot group of them costs one row in the link search; a hot group of near copies is joined by stars first.
     """
-    families = families if similarity else 1
-    # the similarity is one of sets, so fingerprints and sizes are those of sets
-    sketch = simhash(F.col("text"), size, seed, families, distinct=bool(similarity))
+    width = families = None
+    if similarity:
+        # the similarity is one of sets, so fingerprints are those of sets
+        width = width_for(docs.count())
+        partitions = 64 // width
+        radius, families = partitions - 1, families_for(similarity, partitions, width, recall)
+    sketch = simhash(F.col("text"), size, seed, families or 1, distinct=bool(similarity))
     own = written(docs.select("doc_id", text_key("text").alias("text_key"), sketch.alias("s")).select("doc_id", "text_key", "s.*"), "fingerprints")
-    own = own.withColumn("id", F.col("text_key") if similarity else F.col("f0"))
+    own = own.withColumn("fp", F.get("fps", F.lit(0))).withColumn("id", F.col("text_key") if similarity else F.col("fp"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))
-    classes = written(own.groupBy("id").agg(F.min(order).alias("first"), F.first("n").alias("n"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(families))), "classes")
-    family = [classes.select("id", F.col(f"f{k}").alias("fp"), "n") for k in range(families)]
-    index = [plan_index(rows, radius, partitions) for rows in family]
-
-    def true_links(found: list[DataFrame], label: str) -> DataFrame:
-        if not similarity:  # each pair is a link: what a task finds is contracted before it is written
-            return written(contracted(found[0]), label)
-        return written(jaccard_links(docs, written(reduce(DataFrame.union, found).distinct(), label), size, seed, similarity), f"{label}-true")
-
-    joined, links = family, []
-    if similarity:  # without one, every pair within the radius is a link and stars would save little
-        links = [true_links([star_links(rows.withColumn("comp", F.col("id")), i, radius, similarity) for rows, i in zip(family, index, strict=True)], "stars")]
-        known = written(connected_components(links[0], "a", "b"), "joined").withColumnsRenamed({"node": "id", "root": "comp"})
-        joined = [rows.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")) for rows in family]
-    links.append(true_links([hamming_links(rows, radius, partitions, similarity or 0.0, index=i) for rows, i in zip(joined, index, strict=True)], "links"))
-    roots = connected_components(reduce(DataFrame.union, (x.toDF("a", "b") for x in links)), "a", "b")
-    rooted = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id"))
+    classes = written(own.groupBy("id").agg(F.min(order).alias("first"), F.first("fps").alias("fps")), "classes")
+    if similarity:
+        links = similar_links(docs, classes, plan_index(classes, radius, partitions, width, families), size, seed, similarity, radius, check_cost=0.005)
+    else:  # each pair is a link: what a task finds is contracted before it is written
+        links = written(contracted(hamming_links(classes, radius, partitions)), "links")
+    roots = connected_components(links.toDF("a", "b"), "a", "b")
+    rooted = classes.drop("fps").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id"))
     least = rooted.groupBy("component").agg(F.min("first").alias("least"))
     known = rooted.select("id", "component").join(least, "component")
-    return own.join(known, "id").select(
-        "doc_id", "text_key", F.col("f0").alias("fp"), F.col("least.doc_id").alias("component_id"),
+    return own.drop("fps").join(known, "id").select(
+        "doc_id", "text_key", "fp", F.col("least.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))).alias("keep"),
     )
 
 
 def keep_one_each(docs: DataFrame, **settings) -> DataFrame:
-    """The documents with one kept of each near-duplicate class: that with the smallest (doc_id, text)."""
+    """The documents with one kept of each near-duplicate class: that with the smallest (doc_id, text).
+
+    Rows that repeat the kept one in id and text stay.
+    """
     kept = near_duplicates(docs, **settings).filter("keep").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_id"]) & (text_key(docs["text"]) == kept["k_text"]), "left_semi")
 
