@@ -1,10 +1,11 @@
 """Removing repeated runs of lines by winnowing over line hashes, with DataFrame operations only.
 
 A window is the shortest run of lines that holds ``min_words`` words or ``max_lines`` lines, taken forward
-from each line and backward from each line. The smallest line hash in a window is its fingerprint. Two equal
-runs that hold a whole window share its fingerprint, so fingerprints that occur once in the corpus settle
-their windows; for the others the positions are joined. A window that occurs earlier extends to the next
-ones on both sides, and what they cover together is the longest repeated run.
+from each line and backward from each line. The line with the smallest hash in a window is selected, and its
+hash is the window's fingerprint; neighbouring windows of short lines share it. Two equal runs that hold a
+whole window select the same line of it, so a run whose selected lines occur once in the corpus is settled by
+their positions alone. Where positions meet, the windows around them are compared, and a match extends to both
+sides over the windows that touch it: what they cover together is the longest repeated run.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import text_key, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
+LEN = 1024  # a window is start * LEN + len while it is a number in an array
 
 
 def _lines(text: Column) -> Column:
@@ -22,7 +24,7 @@ def _lines(text: Column) -> Column:
 
 
 def _array_windows(h: Column, w: Column, min_words: int, max_lines: int) -> Column:
-    """Windows of a document as array<struct(start, len)>, from its arrays of line hashes and word counts."""
+    """Windows of a document as distinct numbers, from its arrays of line hashes and word counts."""
     n = F.size(h)
 
     def reach(i: Column, step: int) -> Column:
@@ -36,38 +38,52 @@ def _array_windows(h: Column, w: Column, min_words: int, max_lines: int) -> Colu
         return out
 
     at = F.sequence(F.lit(0), n - 1)
-    forward = F.transform(at, lambda i: F.struct(i.alias("start"), reach(i, 1).alias("len")))
-    backward = F.transform(F.transform(at, lambda i: F.struct(i.alias("i"), reach(i, -1).alias("len"))), lambda x: F.struct((x["i"] - x["len"] + 1).alias("start"), x["len"].alias("len")))
-    return F.filter(F.array_distinct(F.concat(forward, backward)), lambda x: x["len"].isNotNull())
+    coded = lambda start, k: start.cast("long") * LEN + k
+    forward = F.transform(at, lambda i: coded(i, reach(i, 1)))
+    backward = F.transform(F.transform(at, lambda i: F.struct(i.alias("i"), reach(i, -1).alias("k"))), lambda x: coded(x["i"] - x["k"] + 1, x["k"]))
+    return F.filter(F.array_distinct(F.concat(forward, backward)), lambda x: x.isNotNull())
 
 
 def line_windows(docs: DataFrame, *, min_words: int = 4, max_lines: int = 3) -> DataFrame:
-    """Rows ``doc_id, text_key, start, len, fingerprint, k1, k2``: a document's windows and what they hold."""
+    """Rows ``doc_id, text_key, start, len, pos, fingerprint, k1, k2``: a document's windows, the line that each selects, and what it holds."""
+    if not 1 <= max_lines < LEN:
+        raise ValueError(f"max_lines must be 1 to {LEN - 1}")
     arrays = docs.select("doc_id", text_key("text").alias("text_key"), _lines(F.col("text")).alias("ls")).select(
         "doc_id", "text_key",
         F.transform("ls", lambda x: F.xxhash64(x)).alias("h"), F.transform("ls", lambda x: F.xxhash64(F.lit("second"), x)).alias("g"),
         F.transform("ls", lambda x: F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))).alias("w"),
     )
-    parts = lambda a, x: F.slice(a, x["start"] + 1, x["len"])
-    windows = F.transform(
-        _array_windows(F.col("h"), F.col("w"), min_words, max_lines),
-        lambda x: F.struct(x["start"], x["len"], F.array_min(parts(F.col("h"), x)).alias("fingerprint"), F.xxhash64(parts(F.col("h"), x)).alias("k1"), F.xxhash64(F.lit("second"), parts(F.col("g"), x)).alias("k2")),
-    )
-    return arrays.select("doc_id", "text_key", F.inline(windows))
+    each = arrays.select("doc_id", "text_key", "h", "g", _array_windows(F.col("h"), F.col("w"), min_words, max_lines).alias("windows"))
+    start, size = lambda x: F.floor(x / LEN).cast("int"), lambda x: (x % LEN).cast("int")
+    parts = lambda a, x: F.slice(a, start(x) + 1, size(x))
+    held = F.transform(
+        "windows",
+        lambda x: F.struct(
+            start(x).alias("start"), size(x).alias("len"), (start(x) + F.array_position(parts(F.col("h"), x), F.array_min(parts(F.col("h"), x))) - 1).cast("int").alias("pos"),
+            F.array_min(parts(F.col("h"), x)).alias("fingerprint"), F.xxhash64(parts(F.col("h"), x)).alias("k1"), F.xxhash64(F.lit("second"), parts(F.col("g"), x)).alias("k2"),
+        ),
+    )
+    return each.select("doc_id", "text_key", F.inline(held))
+
+
+def _place(line: str) -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"), F.col(line))
 
 
 def repeated_windows(docs: DataFrame, *, min_words: int = 4, max_lines: int = 3) -> DataFrame:
     """Rows ``doc_id, text_key, start, len`` of windows that occur earlier, by (doc_id with null last, text, line).
 
-    Counts of fingerprints and first positions are pre-aggregated before they are shuffled; the joins back
-    are plain equi-joins, in which Spark splits hot keys. Windows are read twice rather than stored.
+    Windows are made once and written. Fingerprints that are selected at two positions and first positions of
+    what windows hold are minima and maxima, pre-aggregated before they are shuffled, and written tables too,
+    so that Spark splits the hot keys of the joins back.
     """
-    windows = line_windows(docs, min_words=min_words, max_lines=max_lines)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"), F.col("start"))
-    shared = windows.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    candidates = windows.join(shared, "fingerprint", "left_semi")
-    first = candidates.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return candidates.join(first, ["k1", "k2"]).filter(place > F.col("first")).select("doc_id", "text_key", "start", "len")
+    windows = written(line_windows(docs, min_words=min_words, max_lines=max_lines), "windows")
+    ends = windows.groupBy("fingerprint").agg(F.min(_place("pos")).alias("first"), F.max(_place("pos")).alias("last"))
+    shared = written(ends.filter("first <> last").select("fingerprint"), "fingerprints")
+    met = written(windows.join(shared, "fingerprint").drop("fingerprint", "pos"), "matches")
+    starts = met.groupBy("k1", "k2").agg(F.min(_place("start")).alias("first"), F.max(_place("start")).alias("last"))
+    first = written(starts.filter("first <> last").drop("last"), "firsts")
+    return met.join(first, ["k1", "k2"]).filter(_place("start") > F.col("first")).select("doc_id", "text_key", "start", "len")
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 4, max_lines: int = 3) -> DataFrame:
@@ -82,17 +98,17 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 4, max_lines: int = 3) -> D
     spans = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "len")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key("text").alias("key"))
-    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("key") == F.col("g_key")), "left")
+    met = rows.join(spans, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("key") == F.col("g_key")), "left")
+    # lines are a column of their own, read twice below, so that they aren't split again for each line
+    joined = met.select("row", "gone", _lines(F.col("row.text")).alias("ls"))
     text = F.col("row.text")
-    ls = _lines(text)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
-    left = F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.col("gone"))
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("ls"), i)), "\n")
     new = {
         "text": F.when(F.col("gone").isNull(), text).otherwise(left),
-        "removed_lines": F.coalesce(F.size("gone"), F.lit(0)),
-        "total_lines": F.when(text.isNull(), 0).otherwise(F.size(ls)),
+        "removed_lines": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")),
+        "total_lines": F.when(text.isNull(), 0).otherwise(F.size("ls")),
     }
-    new["removed_lines"] = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     names = [*docs.columns, *(c for c in ("removed_lines", "total_lines") if c not in docs.columns)]
     return joined.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in names))
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -235,6 +236,21 @@ def test_line_dedup(spark, docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_a_long_text(spark):
+    """100,000 lines in one text, every second one a repeat: linear in lines."""
+    text = "\n".join(f"line number {i // 2} of this text" if i % 2 else f"odd line {i} of it" for i in range(50_000))
+    rows = spark.createDataFrame([(1, text + "\n" + text)], "doc_id long, text string")
+    began = time.time()
+    [got] = lines.dedup_lines(rows).collect()
+    assert got.text == text and got.removed_lines == 50_000 and time.time() - began < 60
+
+
+def test_neighbouring_windows_share_a_selected_line(spark):
+    rows = spark.createDataFrame([(1, "\n".join(f"s{i % 97}" for i in range(2000)))], "doc_id long, text string")
+    w = lines.line_windows(rows)
+    assert w.count() == 1998 and w.select("pos").distinct().count() < 1400
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
