@@ -9,7 +9,6 @@ The plan's size depends on the sequence length alone, not on the number of docum
 from __future__ import annotations
 
 import base64
-import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import text_key, written
 
+LONG = 400_000  # characters; longer texts go to tokenizers itself, as the fast encoder's pattern overflows its stack on long runs
 PIECES = "doc_id long, text_key long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, object] = {}
 
@@ -29,7 +29,7 @@ class Encoder:
     """The ids that tokenizers gives for a file of its own.
 
     The same vocabulary as ranks gives the same ids several times faster; texts that hold the string of a
-    special token go to tokenizers itself.
+    special token and texts over ``LONG`` characters go to tokenizers itself.
     """
 
     def __init__(self, name: str) -> None:
@@ -44,8 +44,8 @@ class Encoder:
         self.fast = tiktoken.Encoding(name, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self.slow.encode(text, add_special_tokens=False).ids
+        if len(text) > LONG or any(s in text for s in self.special):
+            return self.slow.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return self.fast.encode_ordinary(text)
 
 
@@ -65,8 +65,8 @@ def token_pieces(docs: DataFrame, *, capacity: int = 1024, tokenizer: str = "byt
         encode = encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+            for doc, key, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids = np.array([*encode(cell.as_py() or ""), end_id], "<u4")
                 at, end = 0, len(ids) % capacity or min(capacity, len(ids))
                 piece = 0
                 while at < len(ids):
@@ -100,14 +100,10 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[Run]:
     as the class has sequences; what is left opens new sequences, each with as many of that length as fit.
     """
     by_room: dict[int, list[tuple[int, int]]] = {}
-    rooms: list[int] = []
 
     def put(room: int, sequence: int, count: int) -> None:
         if room and count:
-            if room not in by_room:
-                by_room[room] = []
-                heapq.heappush(rooms, room)
-            by_room[room].append((sequence, count))
+            by_room.setdefault(room, []).append((sequence, count))
 
     plan: list[Run] = []
     used = 0
@@ -138,25 +134,28 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[Run]:
 
 
 def rank_within_length(pieces: DataFrame, rows: int, per_group: int = 20_000) -> DataFrame:
-    """Adds ``rank``, from 0 within ``length``: salted groups are ranked alone and shifted by the groups before.
+    """Adds ``_rank``, from 0 within ``length``: salted groups are ranked alone and shifted by the groups before.
 
     No group holds more than about ``per_group`` pieces, however many share a length.
     """
     salts = max(64, -(-rows // per_group))
     order = ["doc_id", "text_key", "piece"]
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select("length", "salt", before.alias("shift"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1
-    return salted.withColumn("own", own).join(shifts, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("shift")).drop("own", "shift", "salt")
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("length", "_salt", before.alias("_shift"))
+    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1
+    return salted.withColumn("_own", own).join(shifts, ["length", "_salt"]).withColumn("_rank", F.col("_own") + F.col("_shift")).drop("_own", "_shift", "_salt")
 
 
 def packed(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``: sequences hold at most ``capacity`` tokens, without gaps.
 
-    ``pieces`` is read more than once; pass a written table. Equal rows take slots of their own.
+    ``pieces`` is read more than once; pass a written table. It has ``doc_id, text_key, piece, length``; null ids
+    are ordered like others, equal rows take slots of their own, and an empty table gives no rows. Columns named
+    ``sequence_id`` or ``offset`` are replaced, others stay; names that begin with an underscore are the operator's own.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = sorted(best_fit_plan(counts, capacity), key=lambda r: (r.length, r.rank))
     spread = 1 << 48
@@ -167,22 +166,27 @@ def packed(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank = b.column("rank").to_numpy()
+            rank = b.column("_rank").to_numpy()
             at = np.searchsorted(starts, b.column("length").to_numpy() * spread + rank, side="right") - 1
-            kept = [i for i, name in enumerate(b.schema.names) if name != "rank"]
+            kept = [i for i, name in enumerate(b.schema.names) if name != "_rank"]
             arrays = [b.column(i) for i in kept] + [pa.array(sequences[at] + rank - ranks[at]), pa.array(offsets[at])]
             yield pa.RecordBatch.from_arrays(arrays, names=[*(b.schema.names[i] for i in kept), "sequence_id", "offset"])
 
     ranked = rank_within_length(pieces, sum(counts.values()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("rank").schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("_rank").schema)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, *, capacity: int = 1024, tokenizer: str = "byte_bpe_50k", end_id: int = 2) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+
+    Null and empty texts are one piece of the end id; null ids stay null; rows that repeat are packed as often as
+    they occur, ties falling to (doc_id, text, piece); other columns of ``docs`` don't matter; an empty table gives no rows.
+    """
     pieces = written(token_pieces(docs, capacity=capacity, tokenizer=tokenizer, end_id=end_id), "pieces")
     return packed(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """``pack_documents`` of the whole table in sequences of 1024 tokens."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), capacity=1024)
