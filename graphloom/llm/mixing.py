@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
 Each source's target says how many copies its documents should have on average. The whole part of that is
-allocated for certain; the rest is a sample without replacement: every document gets a random number u,
-is ranked by the odds of u over the odds of its inclusion, and the lowest ranks are taken up to the
-words that the source still needs.
+allocated for certain; the rest is a sample without replacement in which documents have unequal odds: the
+inclusion probability follows a weight of the document, by default the fourth root of its size, so that longer
+documents are likelier. Every document gets a random number u, is ranked by the odds of u over the odds of its
+inclusion, and the lowest ranks are taken up to the words that the source still needs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def favour(size: Column) -> Column:
+    """Default weight: 1024 times the fourth root of size + 1, a whole number, so that sums don't depend on their order."""
+    return F.floor(1024 * F.sqrt(F.sqrt((size + 1).cast("double")))).cast("long")
+
+
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """Rows ``source, source_size, target`` from ``source, source_size``.
 
@@ -51,28 +57,34 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), mo
     return level.select("source", "source_size", F.when(F.col("share").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("share"))).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, size: Column, *, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
+def pareto_mix(docs: DataFrame, size: Column, *, weight: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken``; ``taken`` is copies times size.
 
+    ``weight`` (positive whole numbers; ``favour(size)`` by default) says how documents of a source compare: a
+    document's inclusion probability is the source's rest rate times its weight over the mean weight of the
+    source's words, at most 1.
+
     Null sources are a source of their own, null and empty texts have size 0 and are taken as often as
     the whole part says; ties in rank fall to (doc_id, text); rows equal in both share one decision, whose
     weight is their joint size. An empty table gives no rows. Input columns with these names are replaced.
-    Ranks are summed in buckets of equal probability first, so only the bucket in which a source's need
+    Ranks are summed in buckets first, so only the bucket in which a source's need
     ends is ordered row by row: no source, however large, is sorted in one task.
     """
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))
-    named = docs.select(F.struct("*").alias("row"), F.col("source"), F.col("doc_id").cast("long").alias("id"), ids[1].alias("text_md5"), size.alias("size"))
-    sources = source_targets(named.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, most=most)
+    named = docs.select(F.struct("*").alias("row"), F.col("source"), F.col("doc_id").cast("long").alias("id"), ids[1].alias("text_md5"), size.alias("size"), weight.alias("v") if weight is not None else favour(size).alias("v"))
+    per = named.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("v") * F.col("size")).alias("held"))
+    sources = source_targets(per.drop("held"), weights=weights, most=most)
+    means = per.select(F.col("source").alias("m"), (F.col("held") / F.greatest("source_size", F.lit(1))).alias("mean"))
+    sources = sources.join(means, F.col("source").eqNullSafe(F.col("m"))).drop("m")
     # one row per decision
-    units = named.groupBy("source", "id", "text_md5").agg(F.count("*").alias("rows"), F.first("size").alias("size"))
+    units = named.groupBy("source", "id", "text_md5").agg(F.count("*").alias("rows"), F.max("size").alias("size"), F.max("v").alias("v"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
     u = units.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     u = u.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.col("whole"))
-    u = u.withColumn("u", uniform(seed, F.col("id"), F.col("text_md5")))
-    # bounded by the odds at u and at the inclusion probability; its rank is the same in every engine
-    u = u.withColumn("rank", F.when(F.col("part") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))))
-    u = u.withColumn("bucket", F.floor(F.col("u") * BUCKETS).cast("int")).withColumn("mass", F.col("size") * F.col("rows"))
+    u = u.withColumn("u", uniform(seed, F.col("id"), F.col("text_md5"))).withColumn("chance", F.col("part") * (F.col("v") / F.col("mean")))
+    odds = F.when(F.col("chance") >= 1, 0.0).otherwise((F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance"))))
+    u = u.withColumn("rank", F.when(F.col("part") > 0, odds))
+    u = u.withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int")).withColumn("mass", F.col("size") * F.col("rows"))
     need = F.col("target") - F.col("whole") * F.col("source_size")
     sums = u.filter("part > 0").groupBy("source", "bucket").agg(F.sum("mass").alias("mass"), F.first(need).alias("need"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,6 +105,7 @@ def pareto_mix(docs: DataFrame, size: Column, *, weights: tuple[int, ...] = (1,
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """``pareto_mix`` of the whole table by words; weights 1, 2, 3 repeating, targets up to 3 times a source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pareto_mix(docs, word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -103,7 +116,9 @@ WITH d AS (
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST(CAST(sum(size * CAST(floor(1024 * sqrt(sqrt(CAST(size + 1 AS DOUBLE)))) AS BIGINT)) AS BIGINT) AS DOUBLE) / CAST(greatest(sum(size), 1) AS DOUBLE) AS mean
+  FROM d GROUP BY source
 ), w AS (
   SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS w, 3.0::DOUBLE * source_size AS cap,
          CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s
@@ -114,17 +129,17 @@ WITH d AS (
   SELECT *, first_value(CASE WHEN cap / w >= level THEN level END IGNORE NULLS)
             OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS share FROM n
 ), g AS (
-  SELECT source, source_size, CASE WHEN share IS NULL THEN cap ELSE least(cap, w * share) END AS target FROM t
+  SELECT source, source_size, mean, CASE WHEN share IS NULL THEN cap ELSE least(cap, w * share) END AS target FROM t
 ), u AS (
-  SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS rate,
+  SELECT d.*, g.source_size, g.target, CAST(CAST(floor(1024 * sqrt(sqrt(CAST(size + 1 AS DOUBLE)))) AS BIGINT) AS DOUBLE) / g.mean AS favour, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS rate,
          (CAST(CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || tm), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 ), p AS (
-  SELECT *, floor(rate) AS whole, rate - floor(rate) AS part,
-         (u / (1 - u)) / (CASE WHEN rate > floor(rate) THEN (rate - floor(rate)) / (1 - (rate - floor(rate))) END) AS rank
-  FROM u
+  SELECT *, floor(rate) AS whole, rate - floor(rate) AS part, (rate - floor(rate)) * favour AS chance FROM u
+), o AS (
+  SELECT *, CASE WHEN chance >= 1 THEN 0.0::DOUBLE WHEN part > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM p
 ), c AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, tm ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, tm ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o
 )
 SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN part > 0 AND before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken

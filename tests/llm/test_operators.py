@@ -313,6 +313,16 @@ def test_encoder(text):
         assert list(e(t)) == e.slow.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_on_very_long_texts():
+    e = packing.encoder("byte_bpe_50k")
+    assert len(e("a" + " " * 1_000_000 + "b")) == len(e.slow.encode("a" + " " * 1_000_000 + "b", add_special_tokens=False).ids)
+    words = " ".join(f"word{i % 1000}" for i in range(20_000_000 // 8))
+    assert sum(map(len, (e.slow.decode(list(e(words))[:1000]),))) > 1000
+    for n in (packing.LONG - 2, packing.LONG):
+        t = "x" + " " * n + "y"
+        assert list(e(t)) == e.slow.encode(t, add_special_tokens=False).ids
+
+
 def test_mixing(docs, empty):
     got = mixing.pareto_mix(docs, mixing.word_count(F.col("text")))
     rows = got.collect()
@@ -327,6 +337,22 @@ def test_mixing(docs, empty):
     assert mixing.pareto_mix(empty, mixing.word_count(F.col("text"))).count() == 0
 
 
+def test_mixing_ranks_by_odds(spark):
+    """Longer documents are likelier; what is taken isn't the lowest u, and keeps near the target."""
+    r = random.Random(6)
+    rows = [row(i, " ".join(["w"] * r.choice([3, 30, 300])), source="ab"[i % 2]) for i in range(3000)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.pareto_mix(d, mixing.word_count(F.col("text"))).withColumn("u", mixing.uniform(7, F.col("doc_id"), F.md5("text"))).collect()
+    own = [x for x in got if x.source == "a"]
+    assert abs(sum(x.taken for x in own) - own[0].target) <= 300
+    share = lambda n: np.mean([x.copies for x in own if x["size"] == n])
+    assert share(3) < share(30) < share(300)
+    taken = [x.u for x in own if x.copies == max(y.copies for y in own)]
+    assert max(taken) > min(x.u for x in own if x.copies < max(y.copies for y in own))
+    even = mixing.pareto_mix(d, mixing.word_count(F.col("text")), weight=F.lit(1).cast("long")).collect()
+    assert {x.doc_id for x in even if x.copies} != {x.doc_id for x in got if x.copies}
+
+
 def plain_targets(sizes):
     w = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     cut = set()
