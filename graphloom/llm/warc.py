@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, written
 
-CHUNK = 65_536  # bytes of a chunk of the transfer framing
+CHUNK = 1024  # bytes of a chunk of the transfer framing
+SEGMENT = 4096  # bytes of a record's block; longer blocks go on in continuation records
+ARCHIVE = 64_000_000  # bytes of an archive, at most about
 RECORD = "record_id string, page_id long, type string, segment int, origin string, total long, refers_to string, digest string, framed boolean, body binary, payload_bytes long, payload_digest string"
 
 
@@ -88,13 +90,15 @@ def revisit_member(page_id: int | None, url: str, digest: str, response: int | N
     return _member(headers, block)
 
 
-def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, segment_size: int = 262_144, records_per_file: int = 1000) -> None:
+def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, segment_size: int = SEGMENT, archive_size: int = ARCHIVE) -> None:
     """Writes a record per row of ``page_id, url, html`` under ``path``.
 
     Of equal payloads of at least ``min_revisit_bytes`` bytes the smallest page_id (null last) is the
     response and the others revisit it; smaller ones are all responses, and so are rows that repeat the
     response's id. A null html is an empty payload, a null url an empty target. Pages are compressed
-    before they meet that decision, so the join moves about as many bytes as the archives have.
+    before they meet that decision, so the join moves about as many bytes as the archives have. A record is at
+    most a segment, so the number of records bounds an archive's bytes. Other columns of ``pages`` don't matter; an
+    empty table gives archives without records.
     """
     size, sha = F.octet_length(F.coalesce("html", F.lit(""))), F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     order = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("id"))
@@ -102,23 +106,23 @@ def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, s
 
     def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, urls, htmls = (b.column(i).to_pylist() for i in range(3))
-            for a in range(0, len(ids), 256):
-                cut = slice(a, a + 256)
-                payloads = [(h or "").encode() for h in htmls[cut]]
-                members = [response_members(i, u or "", p, segment_size) for i, u, p in zip(ids[cut], urls[cut], payloads, strict=True)]
-                columns = [pa.array(ids[cut], pa.int64()), pa.array(urls[cut], pa.string()), pa.array([hashlib.sha1(p).hexdigest() for p in payloads]), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.md5(p).hexdigest() for p in payloads]), pa.array(members, pa.list_(pa.binary()))]
+            for a in range(0, b.num_rows, 256):
+                ids, urls, htmls = (b.column(i).slice(a, 256).to_pylist() for i in range(3))
+                payloads = [(h or "").encode() for h in htmls]
+                members = [response_members(i, u or "", p, segment_size) for i, u, p in zip(ids, urls, payloads, strict=True)]
+                columns = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array([hashlib.sha1(p).hexdigest() for p in payloads]), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.md5(p).hexdigest() for p in payloads]), pa.array(members, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "sha", "size", "key", "members"])
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[bytes] = []
-            for page_id, url, sha1, key, revisits, first, members in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                own = [revisit_member(page_id, url or "", base64.b32encode(bytes.fromhex(sha1)).decode(), first, key)] if revisits else members
-                if any(m[-1] for m in own):
-                    raise ValueError("segments must stay under 16 MiB")
-                out += (m[:-1] for m in own)  # the last byte, zero, is the sink's line separator
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+            for a in range(0, b.num_rows, 256):
+                out: list[bytes] = []
+                for page_id, url, sha1, key, revisits, first, members in zip(*(b.column(i).slice(a, 256).to_pylist() for i in range(7)), strict=True):
+                    own = [revisit_member(page_id, url or "", base64.b32encode(bytes.fromhex(sha1)).decode(), first, key)] if revisits else members
+                    if any(m[-1] for m in own):
+                        raise ValueError("segments must stay under 16 MiB")
+                    out += (m[:-1] for m in own)  # the last byte, zero, is the sink's line separator
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
     made = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(responses, "page_id long, url string, sha string, size long, key string, members array<binary>")
     met = made.join(firsts.withColumnRenamed("sha", "s"), F.col("sha") == F.col("s"), "left")
@@ -126,16 +130,21 @@ def write_archives(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, s
     # a revisit needs no payload of its own
     ready = met.select("page_id", "url", "sha", "key", revisits.alias("revisits"), F.col("first.id").alias("first"), F.when(~revisits, F.col("members")).alias("members"))
     members = ready.mapInArrow(chosen, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
+    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", max(1, archive_size // (segment_size + 1024))).text(path)
 
 
 def _parsed(content: bytes) -> Iterator[dict]:
-    """The records of an archive, member by member."""
-    at = 0
+    """The records of an archive, member by member; each byte is read once."""
+    at, view = 0, memoryview(content)
     while at < len(content):
-        member = zlib.decompressobj(31)
-        record = member.decompress(content[at:])
-        at = len(content) - len(member.unused_data)
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(content):
+                raise ValueError("a record isn't whole")
+            parts.append(member.decompress(view[at : at + 16_384]))
+            at += min(16_384, len(content) - at)
+        at -= len(member.unused_data)
+        record = b"".join(parts)
         head, rest = record.split(b"\r\n\r\n", 1)
         version, *lines = head.decode().split("\r\n")
         h = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
@@ -191,7 +200,7 @@ def _decoded(body: bytes, framed: bool, digest: str | None) -> bytes | None:
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decodes bodies, whole or in segments, and verifies lengths and digests."""
-    for b in batches:
+    for b in (b.slice(a, 64) for b in batches for a in range(0, b.num_rows, 64)):
         out = []
         for row in b.to_pylist():
             body, framed, ok, copies = row["body"], row["framed"], True, 1
@@ -256,6 +265,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page of the table written as WARC records, in segments where they are long, and read back."""
     path = fresh_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, min_revisit_bytes=0)
     return read_pages(spark, path)

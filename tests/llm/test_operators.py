@@ -392,6 +392,26 @@ def test_warc(spark, tmp_path):
     assert warc.read_pages(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_query_writes_and_reads_segments(spark, monkeypatch):
+    """The archives that op6_warc itself writes hold continuation records and several chunks a page."""
+    path = []
+    monkeypatch.setattr(warc, "fresh_path", lambda *a: path.append(real(*a)) or path[-1]) if (real := warc.fresh_path) else None
+    n = warc.op6_warc(spark, "/root/testdata/sf0.001").count()
+    records = warc.read_records(spark, path[0])
+    assert n == 50 and records.filter("type = 'continuation'").count() > 10
+    assert records.filter("type = 'response' and segment = 1").count() > 5
+    assert warc.read_responses(spark, path[0]).filter("not verified").count() == 0
+    assert len(warc._chunked(b"x" * 3000).split(b"\r\n400\r\n")) >= 2
+
+
+def test_warc_reader_is_linear():
+    members = b"".join(warc.response_members(i, "u", b"page %d " % i * 400, 4096)[0] for i in range(4000))
+    began = time.time()
+    assert sum(1 for _ in warc._parsed(members)) == 4000 and time.time() - began < 10
+    with pytest.raises(ValueError):
+        list(warc._parsed(members[:-5]))
+
+
 def test_warc_damage():
     rows = [{"record_id": "r", "page_id": 1, "digest": None, "framed": True, "body": None, "parts": [{"segment": 2, "total": 99, "body": b"x"}, {"segment": 1, "total": None, "body": b"h\r\n\r\n1\r\n"}]}]
     import pyarrow as pa
