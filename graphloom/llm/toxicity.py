@@ -2,7 +2,8 @@
 
 Logistic regression over hashed words and word beginnings, which inflected forms share. For each labelled text that mentions a group, a copy with the
 identity terms swapped for others of their kind is made; training penalises the change of score between
-the two, so that the mention of a group says little by itself.
+the two, so that the mention of a group says little by itself. Identity terms always have weights, whether they
+are tied to the label or not, so that the penalty reaches them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, written
 
 #: Terms of a row stand for groups of one kind; a swap takes the next term of the row.
 IDENTITY_TERMS = (
@@ -28,6 +29,9 @@ IDENTITY_TERMS = (
     ("black", "white", "asian", "latino", "hispanic", "arab", "african", "european"),
     ("american", "mexican", "chinese", "indian", "french", "german", "spanish", "russian", "turkish"),
     ("immigrant", "native"), ("immigrants", "natives"), ("old", "young"), ("elderly", "youthful"), ("disabled", "able"), ("deaf", "hearing"), ("blind", "sighted"),
+    ("er", "sie"), ("mann", "frau"), ("männer", "frauen"), ("vater", "mutter"), ("sohn", "tochter"), ("christen", "muslime", "juden"), ("schwarze", "weiße"), ("ausländer", "einheimische"),
+    ("il", "elle"), ("ils", "elles"), ("homme", "femme"), ("hommes", "femmes"), ("père", "mère"), ("fils", "fille"), ("chrétiens", "musulmans", "juifs"), ("noirs", "blancs"), ("étrangers", "français"),
+    ("él", "ella"), ("ellos", "ellas"), ("hombre", "mujer"), ("hombres", "mujeres"), ("padre", "madre"), ("hijo", "hija"), ("cristianos", "musulmanes", "judíos"), ("negros", "blancos"), ("extranjeros", "nativos"),
 )
 SWAP = {a.encode(): row[(i + 1) % len(row)].encode() for row in IDENTITY_TERMS for i, a in enumerate(row)}
 #: ASCII characters that aren't letters or digits become spaces.
@@ -53,10 +57,21 @@ def slots_of(words: set[bytes], bits: int) -> set[int]:
     return out
 
 
+def swapped_words(words: set[bytes]) -> set[bytes]:
+    return {SWAP.get(x, x) for x in words}
+
+
+def identity_slots(bits: int) -> np.ndarray:
+    return hashed({*SWAP, *SWAP.values()}, bits)
+
+
 def hashed(words: set[bytes], bits: int) -> np.ndarray:
     return np.array(sorted(slots_of(words, bits)), np.int32)
 
 
+LEAST = 15.0  # chi-square from which a slot is tied to the label
+
+
 @dataclass
 class Classifier:
     bits: int
@@ -83,11 +98,11 @@ def telling(rows: list[np.ndarray], y: np.ndarray, dim: int, least: float) -> np
     return n * apart**2 >= least * np.maximum(df * (n - df) * pos * (n - pos), 1e-9)
 
 
-def fit_rows(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, *, bits: int = 18, l2: float = 1e-4, fairness: float = 1.0, rounds: int = 300, rate: float = 0.05, least: float = 15.0) -> Classifier:
+def fit_rows(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, *, bits: int = 18, l2: float = 1e-4, fairness: float = 4.0, rounds: int = 300, rate: float = 0.05, least: float = LEAST) -> Classifier:
     """Weights by Adam on cross-entropy + fairness * mean (z - z')**2 over texts with a counterfactual + l2.
 
-    Words that aren't tied to the label (chi-square under ``least``) get no weight, so the many rare words
-    of a long text can't add up to a score. Classes weigh alike up to a factor of 4. No rows, or one class
+    Words that are neither identity terms nor tied to the label (chi-square of at least ``least``) get no weight, so the
+    many rare words of a long text can't add up to a score. Classes weigh alike up to a factor of 4. No rows, or one class
     only, give the base rate.
     """
     n, dim = len(y), 1 << bits
@@ -98,6 +113,7 @@ def fit_rows(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.nda
     used_words = telling(rows, y, dim, least)
     if not used_words.any():
         return model
+    used_words[identity_slots(bits)] = True
     rows = [r[used_words[r]] for r in rows]
     swapped = [None if s is None else s[used_words[s]] for s in swapped]
     own = np.flatnonzero([s is not None for s in swapped])
@@ -133,39 +149,59 @@ def fit_rows(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.nda
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, bits: int = 18, fairness: float = 1.0) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, bits: int = 18, fairness: float = 4.0) -> Classifier:
     """Fits on labelled documents: at most ``max_rows`` of them, those with the smallest hash of their id.
 
-    ``max_rows`` is the documented bound of the sample, which makes the broadcast and the collected
-    features bounded too. Documents with a null label or id take no part; of several labels the highest
-    counts; of several texts under an id each is a row.
+    ``max_rows`` is the documented bound of the sample, which makes the broadcast bounded too. Which slots are
+    tied to the label is counted in Spark, and only these and identity slots come to the driver. Documents with a
+    null label or id take no part; of several labels the highest counts; of several texts under an id each is a row.
     """
     chosen = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, other = [], []
-            for text in b.column(2).to_pylist():
-                words = words_of(text)
-                own.append(hashed(words, bits))
-                other.append(hashed({SWAP.get(x, x) for x in words}, bits) if not words.isdisjoint(SWAP) else None)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, kind), pa.array(other, kind)], names=["doc_id", "y", "own", "other"])
+            for at in range(0, b.num_rows, 256):
+                own, other, c = [], [], b.slice(at, 256)
+                for text in c.column(2):
+                    words = words_of(text.as_py())
+                    own.append(hashed(words, bits))
+                    other.append(hashed(swapped_words(words), bits) if not words.isdisjoint(SWAP) else None)
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(own, kind), pa.array(other, kind)], names=["doc_id", "y", "own", "other"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text")
-    t = rows.mapInArrow(features, "doc_id long, y int, own array<int>, other array<int>").toArrow().sort_by("doc_id")
+    rows = written(rows.mapInArrow(features, "doc_id long, y int, own array<int>, other array<int>"), "features")
+    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    df, both = F.count("*"), F.sum("y")
+    apart = both * n - df * pos
+    tied = n * apart * apart.cast("double") >= LEAST * F.greatest((df * (n - df)).cast("double") * float(pos * (n - pos)), F.lit(1e-9))
+    slots = rows.select("y", F.explode("own").alias("slot")).groupBy("slot").agg(tied.alias("tied")).filter("tied").select("slot").toArrow()["slot"].to_numpy()
+    used = np.union1d(slots, identity_slots(bits)).astype(np.int32)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [pa.array([None if not x.is_valid else np.intersect1d(x.values.to_numpy(), used) for x in b.column(i)], pa.list_(pa.int32())) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *kept], names=["doc_id", "y", "own", "other"])
+
+    t = rows.mapInArrow(told, "doc_id long, y int, own array<int>, other array<int>").toArrow()
+    t = t.take(pa.array(sorted(range(t.num_rows), key=lambda i, d=t["doc_id"].to_pylist(), o=t["own"].to_pylist(): (d[i], o[i]))))  # the same fit wherever rows come from
     lists = lambda c: [x.values.to_numpy() if x.is_valid else None for x in t[c]]
     return fit_rows(lists("own"), lists("other"), t["y"].to_numpy().astype(np.float64), bits=bits, fairness=fairness)
 
 
 def score(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score``, 0 to 1, for every row; null and empty texts get the bias alone."""
+    """Columns ``keep`` of ``docs`` and ``score``, 0 to 1, for every row; null and empty texts get the bias alone.
+
+    Equal texts score alike, rows that repeat stay, an empty table gives no rows, and a kept column named ``score`` is replaced.
+    """
+    keep = [c for c in keep if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.scores(b.column(b.num_columns - 1).to_pylist()))], names=[*b.schema.names[:-1], "score"])
+            found = [shared.value.scores(b.column(b.num_columns - 1).slice(at, 256).to_pylist()) for at in range(0, b.num_rows, 256)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(found or [np.zeros(0)]))], names=[*b.schema.names[:-1], "score"])
 
     return docs.select(*keep, F.col("text").alias("scored_text")).mapInArrow(scored, ", ".join([*fields, "score double"]))
 
@@ -178,6 +214,7 @@ def clean_documents(docs: DataFrame, model: Classifier, threshold: float = 0.7)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of the whole table; labels are learnt from the rows outside the held-out fold."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.filter(fold("doc_id", 3) != 1))
     found = score(docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "text"), model, ["doc_id", "held_out"])
