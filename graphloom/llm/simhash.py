@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_key, written
-from .components import connected_components, contracted
+from .components import _forest, connected_components, contracted
 
 BLOCK = 8  # bits of a sub-block, whose values have a histogram of 256 counts
 
@@ -315,8 +315,9 @@ def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, check_c
 
 
 SMALL = 8  # members of a bucket whose pairs are listed in the join; larger buckets are verified in blocks
-BLOCK_ROWS = 256
-APART = 20  # bits of 62 in which fingerprints of similar texts may differ
+BLOCK_ROWS = 256  # members of a block; larger buckets are joined by stars first
+APART = 16  # bits of 62 in which marks of a pair may differ: at the similarity of 0.8 a pair passes in 99 % of its buckets
+PRESENT = 23  # log2 of the bits that say which texts are wanted
 
 
 def width_for(rows: int) -> int:
@@ -372,9 +373,10 @@ def small_pairs(keys: DataFrame, hot: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of a bucket that isn't in ``hot``, found from the smaller id's probes, whose marks are near."""
     few = keys.join(hot.select("key"), "key", "left_anti")
     p, i = few.alias("p"), few.alias("i")
-    flag = lambda c, b: F.col(c).bitwiseAND(F.lit(b)) != 0
     near = F.bit_count(F.shiftright(F.col("p.mark").bitwiseXOR(F.col("i.mark")), 2)) <= APART
-    met = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("p.id") < F.col("i.id")) & flag("p.mark", 1) & flag("i.mark", 2) & near)
+    # both flags in one expression, so that the two sides are read alike and dealt out once
+    flags = F.col("p.mark").bitwiseAND(F.shiftright("i.mark", 1)).bitwiseAND(F.lit(1)) != 0
+    met = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("p.id") < F.col("i.id")) & flags & near)
     return met.select(F.col("p.id").alias("a"), F.col("i.id").alias("b")).distinct()
 
 
@@ -395,14 +397,29 @@ def star_pairs(members: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int, seed: int) -> DataFrame:
-    """``id, s``: the sorted shingle hashes of the texts whose key is among ``ids``."""
+    """``id, s``: the sorted shingle hashes of the texts whose key is among ``ids``.
 
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, size, seed)).view(np.int64) for t in texts])
+    ``2**PRESENT`` bits of the ids' hashes, a set size, go to the tasks, so that most other texts stay where they are
+    read; what chance lets through leaves in the join.
+    """
+    ids = ids.distinct()
+    slot = F.col("id").bitwiseAND(F.lit((1 << PRESENT) - 1))
+    words = ids.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("bits")).toArrow()
+    present = np.zeros(1 << PRESENT - 6, np.uint64)
+    present[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(present)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << PRESENT) - 1)
+            some = np.flatnonzero(shared.value[own >> np.uint64(6)] >> (own & np.uint64(63)) & np.uint64(1))
+            for at in range(0, len(some), 256):
+                c = b.take(pa.array(some[at : at + 256]))
+                s = [np.unique(shingle_hashes(t.as_py(), size, seed)).view(np.int64) for t in c.column(1)]
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.list_(pa.int64()))], names=["id", "s"])
 
-    texts = docs.select(text_key("text").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids.distinct(), "id", "left_semi")
-    return texts.dropDuplicates(["id"]).select("id", shingles("text").alias("s"))
+    found = docs.select(text_key("text").alias("id"), "text").mapInArrow(sets, "id long, s array<long>")
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -425,26 +442,36 @@ def overlaps(probes: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[np
         yield np.bincount(owner[at], minlength=len(targets))
 
 
-def block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a < b`` between members of a bucket (``key, id, comp``) that aren't in one component yet, by their sets.
+CELL = "struct<t:int,p:int>"
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """Members of large buckets (``key, id, comp``) once for each block in which they are a target or a probe.
 
     A bucket's largest component needs no pairs within itself: the other members are probes, which meet
-    everyone. Probes and members are dealt in blocks of about ``BLOCK_ROWS``, and a task compares one block
-    of each and returns links only, so neither a group nor a list of its pairs is ever held whole.
+    everyone. Probes and members are dealt in blocks of about ``BLOCK_ROWS``.
     """
     parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
     per = parts.groupBy("key").agg(F.max_by("comp", "n").alias("big"), F.sum("n").alias("held"), F.max("n").alias("most")).filter("held > most")
     per = per.select("key", "big", blocks(F.col("held")).alias("nt"), blocks(F.col("held") - F.col("most")).alias("np"))
     of = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    dealt = members.join(per, "key").withColumns({"own_t": of("nt", 1), "own_p": of("np", 2)})
+    own = members.join(per, "key").withColumns({"own_t": of("nt", 1), "own_p": of("np", 2)})
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda t, p: F.struct(t.alias("t"), p.alias("p"))
     # as a target a member meets each block of probes, and as a probe each block of targets
     as_target = F.transform(every("np"), lambda p: cell(F.col("own_t"), p))
-    as_probe = F.when(F.col("comp") != F.col("big"), F.transform(every("nt"), lambda t: cell(t, F.col("own_p")))).otherwise(F.array().cast("array<struct<t:int,p:int>>"))
-    cells = dealt.select("*", F.explode(F.array_union(as_target, as_probe)).alias("cell")).select("*", "cell.*")
-    roles = cells.select("key", "id", "comp", "t", "p", ((F.col("comp") != F.col("big")) & (F.col("p") == F.col("own_p"))).alias("probe"), (F.col("t") == F.col("own_t")).alias("target"))
+    as_probe = F.when(F.col("comp") != F.col("big"), F.transform(every("nt"), lambda t: cell(t, F.col("own_p")))).otherwise(F.array().cast(f"array<{CELL}>"))
+    cells = own.select("*", F.explode(F.array_union(as_target, as_probe)).alias("cell")).select("*", "cell.*")
+    return cells.select("key", "id", "comp", "t", "p", ((F.col("comp") != F.col("big")) & (F.col("p") == F.col("own_p"))).alias("probe"), (F.col("t") == F.col("own_t")).alias("target"))
+
+
+def block_links(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that join what a bucket's blocks (``key, t, p``) hold apart, by the members' sets.
+
+    A task compares one block of probes with one of targets and returns a forest of what is similar, so neither a
+    group nor a list of its pairs is ever held whole.
+    """
 
     def verify(t: pa.Table) -> pa.Table:
         ids, comp, probe, target = (t[c].to_numpy() for c in ("id", "comp", "probe", "target"))
@@ -452,35 +479,40 @@ def block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataF
         flat, edge = s.flatten().to_numpy(), s.offsets.to_numpy() - s.offsets[0].as_py()
         own = [flat[edge[i] : edge[i + 1]] for i in range(len(ids))]
         a, b = np.flatnonzero(probe), np.flatnonzero(target)
-        out = np.zeros((0, 2), np.int64)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if a.size and b.size:
             sizes = np.array([len(own[j]) for j in b])
             for i, same in zip(a, overlaps([own[i] for i in a], [own[j] for j in b]), strict=True):
                 hit = b[(same >= similarity * (len(own[i]) + sizes - same)) & (comp[b] != comp[i])]
-                out = np.concatenate([out, np.stack([np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])], 1)])
-        out = np.unique(out, axis=0)
-        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+                u.append(np.full(len(hit), ids[i]))
+                v.append(ids[hit])
+        x, y = _forest(np.concatenate(u), np.concatenate(v))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return roles.join(sets, "id").groupBy("key", "t", "p").applyInArrow(verify, "a long, b long").distinct()
+    return blocks.join(sets, "id").groupBy("key", "t", "p").applyInArrow(verify, "a long, b long").distinct()
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, index: list[Index], size: int, seed: int, similarity: float, radius: int, check_cost: float) -> DataFrame:
     """Links ``a, b`` (text keys) that join what a Jaccard similarity of ``similarity`` joins; ``classes`` has ``id, fps``.
 
     Texts that share a key are candidates. In buckets of up to ``SMALL`` rows every pair with near marks is
-    verified; larger ones are joined by stars first, and what is then still apart is verified in blocks.
+    verified; larger ones are verified in a block each, and those of over ``BLOCK_ROWS`` are joined by stars first
+    and then verified in several blocks.
     """
     keys = written(keyed(classes, index, radius, check_cost), "keys")
     hot = written(keys.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > SMALL), "hot-keys")
     few = written(small_pairs(keys, hot), "pairs")
-    members = written(keys.join(hot.select("key"), "key").select("key", "id", "mark").distinct(), "members")
-    stars = written(star_pairs(members), "stars")
+    members = written(keys.join(hot, "key").select("key", "id", "mark", "held").distinct(), "members")
+    modest, large = members.filter(F.col("held") <= BLOCK_ROWS), members.filter(F.col("held") > BLOCK_ROWS)
+    stars = written(star_pairs(large), "stars")
     ids = few.select(F.col("a").alias("id")).union(few.select("b")).union(members.select("id"))
     sets = written(shingle_sets(docs, ids, size, seed), "shingles")
     found = written(jaccard_links(few.union(stars), sets, similarity), "links")
     known = written(connected_components(found, "a", "b"), "joined").withColumnsRenamed({"node": "id", "root": "comp"})
-    apart = members.select("key", "id").join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    return found.union(written(block_links(apart, sets, similarity), "block-links"))
+    apart = large.select("key", "id").join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    zero, yes = F.lit(0).alias("t"), F.lit(True)
+    blocks = modest.select("key", "id", F.col("id").alias("comp"), zero, F.lit(0).alias("p"), yes.alias("probe"), yes.alias("target"))
+    return found.union(written(block_links(blocks.union(dealt(apart)), sets, similarity), "block-links"))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, similarity: float | None = 0.8, recall: float = 0.997, radius: int = 3, partitions: int = 2) -> DataFrame:
