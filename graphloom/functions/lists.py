@@ -20,8 +20,8 @@ def capped(ids: Column, n: int, method: str = "FIFO") -> Column:
 
 
 def subtract(ids: Column, gone: Column) -> Column:
-    """Order and repeats stay."""
-    return F.filter(ids, lambda v: ~F.array_contains(gone, v))
+    """Order and repeats stay, blank ids go."""
+    return F.filter(ids, lambda v: v.isNotNull() & (v != "") & ~F.array_contains(gone, v))
 
 
 def incremental(existing: Column, old: Column, new: Column) -> Column:

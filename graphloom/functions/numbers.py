@@ -32,19 +32,32 @@ def anls(reference: Column, prediction: Column) -> Column:
     return F.when(longest == 0, 1.0).when(value <= 0.5, 0.0).otherwise(value)
 
 
-def float_equal(reference: Column, prediction: Column, digits: int = 2) -> Column:
-    """Equal within 1 % to the reference, its hundredth or its hundredfold, or after half-even rounding."""
+def precision(x: Column) -> Column:
+    """Digits after the point of a number as it is written; 3 without a point."""
+    t = x.cast("string")
+    return F.when(t.contains("."), F.length(F.substring_index(t, ".", -1))).otherwise(3)
+
+
+def float_equal(reference: Column, prediction: Column) -> Column:
+    """Equal within 1 % to the reference, its hundredth or its hundredfold, or after half-even rounding to as many places
+    as both have, at least 2 (compared up to 9).
+    """
     close = F.lit(False)
     for r in (reference / 100, reference, reference * 100):
-        close = close | (F.abs(r - prediction) <= 0.01 * F.greatest(F.abs(r), F.abs(prediction))) | (F.bround(r, digits) == F.bround(prediction, digits))
+        digits = F.greatest(F.lit(2), F.least(precision(prediction), precision(r)))
+        same = F.bround(r, 9) == F.bround(prediction, 9)
+        for n in range(2, 9):
+            same = F.when(digits == n, F.bround(r, n) == F.bround(prediction, n)).otherwise(same)
+        close = close | (F.abs(r - prediction) <= 0.01 * F.greatest(F.abs(r), F.abs(prediction))) | same
     return close
 
 
+# The patterns of this and the next function are those of the scoring rules.
 def clean_answer(text: Column) -> Column:
     t = F.trim(F.lower(text))
     t = F.trim(F.regexp_replace(t, "\\s*\\([^)]*\\)", ""))
     t = F.trim(F.regexp_replace(t, "^['\"]|['\"]$", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "^\\$", ""), "%$", ""))
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, "^\\$+", "")), "%+$", ""))
 
 
 def needs_exact_match(text: Column) -> Column:

@@ -11,11 +11,16 @@ TUPLE_SEP = "<|#|>"
 END_MARK = "<|COMPLETE|>"
 NAME_LIMIT = 256
 SUMMARY_LIMIT = 250
+# HTML escapes that are resolved, the ampersand last, so that nothing is resolved twice.
+ESCAPES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#60;", "<"), ("&#62;", ">"), ("&#160;", "\u00a0"), ("&#38;", "&"), ("&amp;", "&"))
 
 
 def sanitize(text: Column) -> Column:
-    """Trimmed text without control characters (tab, newline and return stay); null stays null."""
-    return F.trim(F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]", ""))
+    """Trimmed text without control characters (tab, newline and return stay) and U+FFFE/F, with ``ESCAPES`` resolved; null stays null."""
+    t = F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\uFFFE\\uFFFF]", "")
+    for name, char in ESCAPES:
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(t, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]", ""))
 
 
 def hash_id(prefix: str, *parts: Column) -> Column:

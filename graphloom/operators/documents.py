@@ -67,7 +67,6 @@ def deletion_impact(tracking: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def cached_for_chunks(chunks: DataFrame, cache: DataFrame) -> DataFrame:
-    """Cached extractions of chunks (``chunk_id, llm_cache_list``), in order of creation within a chunk."""
-    keys = chunks.select("chunk_id", F.explode("llm_cache_list").alias("cache_id"))
-    found = keys.join(cache.filter("cache_type = 'extract'"), "cache_id")
+    """Cached extractions of chunks (a row of ``chunk_id, cache_id`` for each), in order of creation within a chunk."""
+    found = chunks.join(cache.filter("cache_type = 'extract'"), "cache_id")
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("chunk_id").orderBy("create_time", "cache_id"))).withColumn("earliest", F.min("create_time").over(Window.partitionBy("chunk_id")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,9 +11,12 @@ def records(relations: DataFrame, chunks: DataFrame) -> DataFrame:
     ``source_id`` and chunks with ``chunk_id, doc_id, modality``; each chunk counts once per pair.
     """
     met = relations.select("src", "tgt", F.col("source_id").alias("chunk_id")).distinct().join(chunks.select("chunk_id", "doc_id", "modality"), "chunk_id")
-    per = met.groupBy("src", "tgt", "modality").agg(F.count("*").alias("n"), F.collect_set("doc_id").alias("docs"))
+    # distinct documents are counted in two steps, so that no list of them is held; a pair has a row per modality then
+    per = met.groupBy("src", "tgt", "doc_id", "modality").agg(F.count("*").alias("n"))
+    first = F.min("modality").over(Window.partitionBy("src", "tgt", "doc_id")) == F.col("modality")
+    per = per.withColumn("first", first).groupBy("src", "tgt", "modality").agg(F.sum("n").alias("n"), F.count_if("first").alias("docs"))
     return per.groupBy("src", "tgt").agg(
-        F.sum("n").alias("evidence_total_count"), F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("evidence_doc_count"),
+        F.sum("n").alias("evidence_total_count"), F.sum("docs").cast("int").alias("evidence_doc_count"),
         F.array_join(F.array_sort(F.collect_set("modality")), ",").alias("modality"), F.array_sort(F.collect_list(F.struct("modality", "n"))).alias("by_modality"),
     )
 

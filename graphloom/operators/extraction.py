@@ -26,5 +26,6 @@ def relations(records: DataFrame) -> DataFrame:
     """Valid relation records: five fields, two different ends; the weight is the last field where that is a number, else 1."""
     f = lambda i: F.get("fields", F.lit(i))
     rows = records.filter((F.size("fields") == 5) & f(0).contains("relation")).select("chunk_id", "ord", normalize_name(f(1)).alias("a"), normalize_name(f(2)).alias("b"), F.replace(f(3), F.lit("，"), F.lit(",")).alias("keywords"), f(4).alias("description"))
+    number = F.regexp_replace(F.regexp_replace("description", "^\"+|\"+$", ""), "^'+|'+$", "")
     good = rows.filter("a <> '' and b <> '' and a <> b")
-    return good.select("chunk_id", "ord", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt"), "keywords", "description", F.when(is_number(F.col("description")), F.try_to_number("description", F.lit("999999999.999999")).cast("double")).otherwise(1.0).alias("weight"))
+    return good.select("chunk_id", "ord", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt"), "keywords", "description", F.when(is_number(number), number.try_cast("double")).otherwise(1.0).alias("weight"))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lists import capped
 from ..functions.text import FIELD_SEP
 
 
@@ -21,12 +20,19 @@ def merge_nodes(records: DataFrame, order: list[str], cap: int = 300, method: st
     types = records.groupBy("entity_id", "entity_type").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
     kind = types.groupBy("entity_id").agg(F.min_by("entity_type", F.struct(-F.col("n"), F.col("first"))).alias("entity_type"))
     seen = lambda c: records.groupBy("entity_id", c).agg(F.min(F.struct(*order)).alias("first")).groupBy("entity_id").agg(_in_order(c, "first").alias(c))
-    sources = seen("source_id")
-    merged = kind.join(seen("description"), "entity_id").join(sources, "entity_id")
-    return merged.select("entity_id", "entity_type", F.array_join("description", FIELD_SEP).alias("description"), capped(F.col("source_id"), cap, method).alias("source_ids"), F.size("source_id").alias("n_sources"))
-
-
-def merge_edges(records: DataFrame, cap: int = 300) -> DataFrame:
+    # sources are ranked within their entity from the end that the cap keeps, so that no more than the cap are gathered
+    distinct = records.groupBy("entity_id", "source_id").agg(F.min(F.struct(*order)).alias("first"))
+    keep_first = method == "KEEP"
+    ends = [F.asc("first"), F.asc("source_id")] if keep_first else [F.desc("first"), F.desc("source_id")]
+    ranked = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("entity_id").orderBy(*ends))).filter(F.col("nth") <= max(cap, 0))
+    sources = ranked.groupBy("entity_id").agg(_in_order("source_id", "first").alias("source_ids"))
+    counts = distinct.groupBy("entity_id").agg(F.count("*").cast("int").alias("n_sources"))
+    merged = kind.join(seen("description"), "entity_id").join(counts, "entity_id").join(sources, "entity_id", "left")
+    none = F.array().cast("array<string>")
+    return merged.select("entity_id", "entity_type", F.array_join("description", FIELD_SEP).alias("description"), F.coalesce("source_ids", none).alias("source_ids"), "n_sources")
+
+
+def merge_edges(records: DataFrame) -> DataFrame:
     """Edges from ``src, tgt, weight, keywords, source_id``: weights are summed, keywords sorted and distinct; self loops go."""
     ends = records.filter("src <> tgt").withColumns({"a": F.least("src", "tgt"), "b": F.greatest("src", "tgt")})
     words = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("keywords", ",")))))

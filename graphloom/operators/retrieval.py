@@ -46,15 +46,15 @@ def interleaved(lists: list[DataFrame], key: list[str], columns: list[str]) -> D
 
 
 def within_budget(rows: DataFrame, tokens: Column, budget: int, order: str = "ord") -> DataFrame:
-    """The longest beginning whose tokens sum to at most the budget."""
+    """The longest beginning whose tokens (at least one a row) sum to at most the budget, which bounds its rows too."""
+    rows = rows.orderBy(order).limit(budget)
     upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("used", F.sum(tokens).over(upto)).filter(F.col("used") <= budget)
 
 
 def related_chunks(owners: DataFrame) -> DataFrame:
-    """``chunk_id, owner, ord, occurrences`` from owners (``owner, ord, chunk_ids``): the earliest owner keeps a chunk."""
-    each = owners.select("owner", "ord", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
-    counted = each.withColumn("occurrences", F.count("*").over(Window.partitionBy("chunk_id")))
+    """``chunk_id, owner, ord, pos, occurrences`` from owners' chunks (``owner, ord, pos, chunk_id``): the earliest owner keeps a chunk."""
+    counted = owners.withColumn("occurrences", F.count("*").over(Window.partitionBy("chunk_id")))
     return first_seen(counted, ["chunk_id"], ["ord", "pos"])
 
 
@@ -84,5 +84,6 @@ def references(chunks: DataFrame) -> DataFrame:
 def processed_chunks(chunks: DataFrame, *, min_score: float = 0.0, top_k: int = 20, budget: int = 2000) -> DataFrame:
     """Chunks (``ord, rerank_score, tokens``) after the score bound, the head and the token budget, with ids DC1, DC2, ..."""
     good = chunks.filter(F.coalesce("rerank_score", F.lit(1.0)) >= min_score) if min_score > 0 else chunks
-    head = good.withColumn("ord", F.row_number().over(Window.orderBy(F.desc(F.coalesce("rerank_score", F.lit(1.0))), "ord"))).filter(F.col("ord") <= top_k)
+    best = F.desc(F.coalesce("rerank_score", F.lit(1.0)))
+    head = good.orderBy(best, "ord").limit(top_k).withColumn("ord", F.row_number().over(Window.orderBy(best, "ord")))
     return within_budget(head, F.col("tokens"), budget).withColumn("id", F.concat(F.lit("DC"), F.col("ord").cast("string"))).drop("used")

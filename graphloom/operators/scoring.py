@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import anls, clean_answer, float_equal, needs_exact_match
+
+
+def answer_score(answer: Column, pred: Column, kind: Column) -> Column:
+    """0 to 1 for a given answer, by its format; ``answer`` and ``pred`` are arrays, of one item but for lists.
+
+    Int: equal as whole numbers. Float: ``float_equal``. Str and None: the cleaned texts' ANLS, or equality where the
+    answer is of a class that needs it. List: 0 for other lengths; cleaned and sorted items are equal where the first is a
+    number or needs it, else the worst ANLS counts.
+    """
+    a, p = F.get(answer, F.lit(0)), F.get(pred, F.lit(0))
+    number = lambda c: clean_answer(c).try_cast("double")
+    whole = F.coalesce(a.try_cast("long") == p.try_cast("double").cast("long"), F.lit(False)).cast("double")
+    floats = F.coalesce(float_equal(number(a), number(p)), F.lit(False)).cast("double")
+    x, y = clean_answer(a), clean_answer(p)
+    text = F.when(needs_exact_match(x), (x == y).cast("double")).otherwise(anls(x, y))
+    xs, ys = (F.array_sort(F.transform(c, clean_answer)) for c in (answer, pred))
+    exact = F.get(xs, F.lit(0)).try_cast("double").isNotNull() | needs_exact_match(F.get(xs, F.lit(0)))
+    worst = F.array_min(F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda v: anls(v["x"], v["y"])))
+    lists = F.when(F.size(xs) != F.size(ys), 0.0).when(exact, (xs == ys).cast("double")).otherwise(worst)
+    return F.when(kind == "Int", whole).when(kind == "Float", floats).when(kind.isin("Str", "None"), text).otherwise(lists)
+
+
+def generalized_accuracy(rows: DataFrame, by: list[str], asked: int) -> DataFrame:
+    """Mean ``score`` of what was answered, and rectified to all the questions that were asked."""
+    m = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("m"))
+    return m.select(*by, "n", F.round("m", 6).alias("generalized"), F.round(F.col("m") * F.col("n") / asked, 6).alias("rectified"))
+
 
 def accuracy_f1(rows: DataFrame) -> DataFrame:
     """Accuracy over all; F1 of recall over answerable questions and precision over given answers.

@@ -30,6 +30,14 @@ def query(sql: str | None = None):
     return add
 
 
+def _clean_sql(column: str) -> str:
+    """What ``text.sanitize`` does."""
+    t = rf"regexp_replace({column}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')"
+    for name, char in text.ESCAPES:
+        t = f"replace({t}, '{name}', chr({ord(char)}))"
+    return rf"trim(regexp_replace({t}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g'))"
+
+
 EDGES = "e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS tgt, sum(l_quantity) AS weight, count(*) AS n FROM lineitem GROUP BY 1, 2)"
 NODES = "v AS (SELECT 'p' || p_partkey AS entity_id, p_brand AS entity_type, p_name AS description FROM part UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name FROM supplier)"
 DEGREE = "d AS (SELECT entity_id, count(*) AS degree FROM (SELECT src AS entity_id FROM e UNION ALL SELECT tgt FROM e) GROUP BY 1)"
@@ -75,7 +83,7 @@ def inner_product_of_unit_vectors(spark, d):
 # documents
 
 
-@query(r"WITH c AS (SELECT doc_id, source, trim(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g')) AS t FROM documents), f AS (SELECT 'doc-' || md5(t) AS id, arg_min(t, doc_id) AS t, arg_min(coalesce(source, 'unknown_source'), doc_id) AS file_path FROM c WHERE t <> '' GROUP BY 1) SELECT id, file_path, CAST(length(t) AS INTEGER) AS content_length, CASE WHEN length(trim(t)) <= 250 THEN trim(t) ELSE left(trim(t), 250) || '...' END AS content_summary, 'pending' AS status FROM f")
+@query(f"WITH c AS (SELECT doc_id, source, {_clean_sql('text')} AS t FROM documents), f AS (SELECT 'doc-' || md5(t) AS id, arg_min(t, doc_id) AS t, arg_min(coalesce(source, 'unknown_source'), doc_id) AS file_path FROM c WHERE t <> '' GROUP BY 1) SELECT id, file_path, CAST(length(t) AS INTEGER) AS content_length, CASE WHEN length(trim(t)) <= 250 THEN trim(t) ELSE left(trim(t), 250) || '...' END AS content_summary, 'pending' AS status FROM f")
 def enqueue_documents(spark, d):
     return documents.enqueue(read(spark, d, "documents"), "doc_id")
 
@@ -97,9 +105,10 @@ def paginated_documents(spark, d):
     return documents.page(rows, "create_time", 2, 25)
 
 
-@query("SELECT i AS doc_id, CAST(i // 7 AS INTEGER) AS ord, lang, n_chars FROM (SELECT unnest(range(0, 2000, 7)) AS i) LEFT JOIN documents ON doc_id = i")
+@query("SELECT 2 * l.doc_id AS doc_id, l.doc_id AS ord, lang, n_chars FROM labels l LEFT JOIN documents d ON d.doc_id = 2 * l.doc_id")
 def documents_by_ids(spark, d):
-    ids = spark.range(0, 2000, 7).select(F.col("id").alias("doc_id"), (F.col("id") / 7).cast("int").alias("ord"))
+    """Twice every labelled id is looked up, so that about half are misses."""
+    ids = read(spark, d, "labels").select((2 * F.col("doc_id")).alias("doc_id"), F.col("doc_id").alias("ord"))
     return documents.by_ids(ids, read(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
 
 
@@ -134,8 +143,8 @@ def cached_extractions(spark, d):
     e = read(spark, d, "events")
     kind = e.agg(F.min("event_type")).first()[0]
     cache = e.select(F.col("event_id").alias("cache_id"), F.when(F.col("event_type") == kind, "extract").otherwise("query").alias("cache_type"), F.col("ts").alias("create_time"))
-    chunks = e.groupBy(F.concat(F.lit("c"), "user_id").alias("chunk_id")).agg(F.collect_list("event_id").alias("llm_cache_list"))
-    return documents.cached_for_chunks(chunks, cache)
+    links = e.select(F.concat(F.lit("c"), "user_id").alias("chunk_id"), F.col("event_id").alias("cache_id"))
+    return documents.cached_for_chunks(links, cache)
 
 
 # merging
@@ -256,15 +265,15 @@ def export_relations(spark, d):
     return graph.exported(tables.edges(spark, d))
 
 
-@query("SELECT 's' || l_suppkey AS entity_id, count(DISTINCT l_orderkey) AS chunks FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1")
+@query("SELECT 's' || l_suppkey AS entity_id, count(DISTINCT l_orderkey) AS chunks FROM lineitem GROUP BY 1")
 def nodes_by_chunk(spark, d):
-    r = tables.relations(spark, d).filter("ord1 % 50 = 0")
+    r = tables.relations(spark, d)
     return r.groupBy(F.col("tgt").alias("entity_id")).agg(F.count_distinct("source_id").alias("chunks"))
 
 
 @query()
 def label_propagation(spark, d):
-    return graph.communities(tables.edges(spark, d), rounds=2)
+    return graph.communities(tables.edges(spark, d))
 
 
 # retrieval
@@ -295,13 +304,14 @@ def hybrid_entities(spark, d):
     return retrieval.interleaved([local, glob], ["entity_id"], ["entity_id"])
 
 
-OWNERS = f"{SEEDS}, ow AS (SELECT entity_id AS owner, ord, list(DISTINCT l_orderkey ORDER BY l_orderkey) AS ids FROM seed JOIN lineitem ON entity_id = 's' || l_suppkey WHERE l_orderkey % 40 = 0 GROUP BY 1, 2), ea AS (SELECT owner, ord, unnest(ids) AS c, generate_subscripts(ids, 1) - 1 AS pos FROM ow), ec AS (SELECT *, count(*) OVER (PARTITION BY c) AS occurrences FROM ea), ef AS (SELECT * FROM ec QUALIFY row_number() OVER (PARTITION BY c ORDER BY ord, pos) = 1)"
+OWNERS = f"{SEEDS}, ow AS (SELECT entity_id AS owner, ord, list(DISTINCT l_orderkey ORDER BY l_orderkey) AS ids FROM seed JOIN lineitem ON entity_id = 's' || l_suppkey GROUP BY 1, 2), ea AS (SELECT owner, ord, unnest(ids) AS c, generate_subscripts(ids, 1) - 1 AS pos FROM ow), ec AS (SELECT *, count(*) OVER (PARTITION BY c) AS occurrences FROM ea), ef AS (SELECT * FROM ec QUALIFY row_number() OVER (PARTITION BY c ORDER BY ord, pos) = 1)"
 
 
 def _owners(spark, d):
-    r = tables.relations(spark, d).filter("ord1 % 40 = 0").select("tgt", "ord1").distinct()
-    met = r.join(F.broadcast(seeds(spark, d)), F.col("tgt") == F.col("entity_id"))
-    return met.groupBy(F.col("tgt").alias("owner"), "ord").agg(F.array_sort(F.collect_set("ord1")).alias("chunk_ids"))
+    """A row for each chunk of each seed; places are counted within a seed."""
+    r = tables.relations(spark, d).select("tgt", "ord1").join(F.broadcast(seeds(spark, d)), F.col("tgt") == F.col("entity_id"))
+    each = r.select(F.col("tgt").alias("owner"), "ord", F.col("ord1").alias("chunk_id")).distinct()
+    return each.withColumn("pos", F.row_number().over(Window.partitionBy("owner").orderBy("chunk_id")) - 1)
 
 
 @query(f"WITH {OWNERS} SELECT owner, ord, CAST(pos AS INTEGER) AS pos, c AS chunk_id, occurrences FROM ef")
@@ -318,22 +328,22 @@ def weighted_polling(spark, d):
     return retrieval.weighted_polling(retrieval.related_chunks(_owners(spark, d)))
 
 
-@query(f"WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (ORDER BY full_doc_id, chunk_order_index) AS ord FROM c), u AS (SELECT *, sum(tokens) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM r WHERE ord <= 500) SELECT full_doc_id, chunk_order_index, tokens, used FROM u WHERE used <= 6000")
+@query(f"WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (ORDER BY full_doc_id, chunk_order_index) AS ord FROM c), u AS (SELECT *, sum(tokens) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM r) SELECT full_doc_id, chunk_order_index, tokens, CAST(used AS BIGINT) AS used FROM u WHERE used <= 6000")
 def token_budget(spark, d):
-    c = tables.chunks(read(spark, d, "documents")).withColumn("ord", F.row_number().over(Window.orderBy("full_doc_id", "chunk_order_index"))).filter("ord <= 500")
+    c = tables.chunks(read(spark, d, "documents")).withColumn("ord", F.struct("full_doc_id", "chunk_order_index"))
     return retrieval.within_budget(c, F.col("tokens"), 6000).select("full_doc_id", "chunk_order_index", "tokens", "used")
 
 
 @query(f"WITH {CHUNKS}, r AS (SELECT file_path, row_number() OVER (ORDER BY full_doc_id, chunk_order_index) AS ord FROM c), p AS (SELECT file_path, count(*) AS n, min(ord) AS f FROM r GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY n DESC, f) AS VARCHAR) AS reference_id, file_path, n FROM p")
 def reference_list(spark, d):
     c = tables.chunks(read(spark, d, "documents"))
-    return retrieval.references(c.withColumn("ord", F.row_number().over(Window.orderBy("full_doc_id", "chunk_order_index"))))
+    return retrieval.references(c.withColumn("ord", F.struct("full_doc_id", "chunk_order_index")))
 
 
 @query("WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST((conv_id * 7 + turn) % 10 AS DOUBLE) / 10 END AS s, length(text) AS tokens, row_number() OVER (ORDER BY conv_id, turn) AS o FROM conversations), h AS (SELECT *, row_number() OVER (ORDER BY coalesce(s, 1.0) DESC, o) AS ord FROM r WHERE coalesce(s, 1.0) >= 0.5), u AS (SELECT *, sum(tokens) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM h WHERE ord <= 40) SELECT conv_id, turn, CAST(ord AS INTEGER) AS ord, 'DC' || ord AS id FROM u WHERE used <= 4000")
 def processed_chunks(spark, d):
     c = read(spark, d, "conversations")
-    rows = c.select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, ((F.col("conv_id") * 7 + F.col("turn")) % 10).cast("double") / 10).alias("rerank_score"), F.length("text").alias("tokens"), F.row_number().over(Window.orderBy("conv_id", "turn")).alias("ord"))
+    rows = c.select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, ((F.col("conv_id") * 7 + F.col("turn")) % 10).cast("double") / 10).alias("rerank_score"), F.length("text").alias("tokens"), F.struct("conv_id", "turn").alias("ord"))
     return retrieval.processed_chunks(rows, min_score=0.5, top_k=40, budget=4000).select("conv_id", "turn", "ord", "id")
 
 
@@ -434,7 +444,7 @@ def belongs_to(spark, d):
 # text
 
 
-@query(r"SELECT page_id, trim(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g')) AS t FROM pages")
+@query(f"SELECT page_id, {_clean_sql('html')} AS t FROM pages")
 def sanitize_pages(spark, d):
     return read(spark, d, "pages").select("page_id", text.sanitize(F.col("html")).alias("t"))
 
@@ -472,30 +482,23 @@ ORACLE_SQL["parsed_extractions"] = "SELECT 'parttype' AS entity_type, count(*) A
 # scoring
 
 
-SCORES = "a AS (SELECT b.item_id, d.doc_id, left(b.text, 40) AS reference, left(d.text, 40) AS prediction FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)"
-
-
-def _answers(spark, d):
-    b, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
-    return docs.join(F.broadcast(b.withColumnRenamed("text", "b")), F.col("doc_id") % 40 == F.col("item_id") % 40).select("item_id", "doc_id", F.substring("b", 1, 40).alias("reference"), F.substring("text", 1, 40).alias("prediction"))
-
-
-@query(f"WITH {SCORES}, v AS (SELECT *, 1 - CAST(levenshtein(reference, prediction) AS DOUBLE) / greatest(length(reference), length(prediction)) AS x FROM a) SELECT item_id, doc_id, round(CASE WHEN greatest(length(reference), length(prediction)) = 0 THEN 1.0 WHEN x <= 0.5 THEN 0.0 ELSE x END, 6) AS score FROM v")
+@query()
 def edit_similarity(spark, d):
-    ascii_only = _answers(spark, d)
-    return ascii_only.select("item_id", "doc_id", F.round(numbers.anls(F.col("reference"), F.col("prediction")), 6).alias("score"))
+    """Every turn's whole text against that of the next turn of its conversation; held against plain Python, as SQL counts bytes."""
+    c = read(spark, d, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
+    pairs = c.withColumnRenamed("text", "reference").join(after, ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(numbers.anls(F.col("reference"), F.col("prediction")), 6).alias("score"))
 
 
-FLOATS = "f AS (SELECT l_orderkey, l_linenumber, l_discount AS a, l_tax AS b FROM lineitem)"
+FLOATS = "f AS (SELECT l_discount AS a, l_tax AS b FROM lineitem)"
+# half-even rounding to two places; none of these values is half-way between two of them
+ROUNDS = "round({r}, 2) = round(b, 2)"
 
 
-@query(f"WITH {FLOATS} SELECT count(*) AS n, count(*) FILTER (WHERE " + " OR ".join(f"(abs({r} - b) <= 0.01 * greatest(abs({r}), abs(b)))" for r in ("a / 100", "a", "a * 100")) + ") AS close FROM f")
+@query(f"WITH {FLOATS} SELECT count(*) AS n, count(*) FILTER (WHERE " + " OR ".join(f"abs({r} - b) <= 0.01 * greatest(abs({r}), abs(b)) OR {ROUNDS.format(r=r)}" for r in ("a / 100", "a", "a * 100")) + ") AS close FROM f")
 def float_answers(spark, d):
-    li = read(spark, d, "lineitem")
-    close = F.lit(False)
-    for r in (F.col("l_discount") / 100, F.col("l_discount"), F.col("l_discount") * 100):
-        close = close | (F.abs(r - F.col("l_tax")) <= 0.01 * F.greatest(F.abs(r), F.abs(F.col("l_tax"))))
-    return li.agg(F.count("*").alias("n"), F.count_if(close).alias("close"))
+    return read(spark, d, "lineitem").agg(F.count("*").alias("n"), F.count_if(numbers.float_equal(F.col("l_discount"), F.col("l_tax"))).alias("close"))
 
 
 JUDGED = "j AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'Not answerable' END AS answer, CASE WHEN toxic = 1 THEN 'Not answerable' ELSE 'yes' END AS pred, CASE WHEN (quality = 1) = (toxic = 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, lang, source FROM labels JOIN documents USING (doc_id))"
@@ -517,6 +520,37 @@ def score_breakdown(spark, d):
     return scoring.breakdown(_judged(spark, d), ["lang", "source"])
 
 
+ANSWERED = """w AS (SELECT l_orderkey, l_linenumber, ['Int', 'Float', 'Str', 'List', 'None'][1 + CAST((l_orderkey + l_linenumber) % 5 AS INTEGER)] AS format, CAST(l_linenumber AS VARCHAR) AS i, CAST(l_suppkey % 7 AS VARCHAR) AS j, l_discount AS a, l_tax AS b, l_returnflag AS r, l_linestatus AS s FROM lineitem),
+ z AS (SELECT l_orderkey, l_linenumber, format, CASE format
+   WHEN 'Int' THEN CASE WHEN i = j THEN 1.0 ELSE 0.0 END
+   WHEN 'Float' THEN CASE WHEN """ + " OR ".join(f"abs({r} - b) <= 0.01 * greatest(abs({r}), abs(b)) OR {ROUNDS.format(r=r)}" for r in ("a / 100", "a", "a * 100")) + """ THEN 1.0 ELSE 0.0 END
+   WHEN 'List' THEN CASE WHEN lower(r) = lower(s) THEN 1.0 ELSE 0.0 END
+   ELSE CASE WHEN lower(r) = lower(s) THEN 1.0 ELSE 0.0 END END::DOUBLE AS score FROM w)"""
+
+
+def _answered(spark, d):
+    """Answers of every format put together from order lines: line number and supplier, discount and tax, flag and status."""
+    li = read(spark, d, "lineitem")
+    formats = F.array(*(F.lit(f) for f in ("Int", "Float", "Str", "List", "None")))
+    kind = F.get(formats, ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).cast("int"))
+    text = lambda c: F.col(c).cast("string")
+    answer = F.when(kind == "Int", text("l_linenumber")).when(kind == "Float", text("l_discount")).otherwise(F.col("l_returnflag"))
+    pred = F.when(kind == "Int", (F.col("l_suppkey") % 7).cast("string")).when(kind == "Float", text("l_tax")).otherwise(F.col("l_linestatus"))
+    both = lambda c: F.when(kind == "List", F.array(c, F.lit("x"))).otherwise(F.array(c))
+    return li.select("l_orderkey", "l_linenumber", kind.alias("format"), both(answer).alias("answer"), both(pred).alias("pred"))
+
+
+@query(f"WITH {ANSWERED} SELECT * FROM z")
+def answer_scores(spark, d):
+    return _answered(spark, d).select("l_orderkey", "l_linenumber", "format", scoring.answer_score(F.col("answer"), F.col("pred"), F.col("format")).alias("score"))
+
+
+@query(f"WITH {ANSWERED} SELECT format, count(*) AS n, round(avg(score), 6) AS generalized, round(avg(score) * count(*) / 100000, 6) AS rectified FROM z GROUP BY format")
+def generalized_accuracy(spark, d):
+    scored = _answered(spark, d).select("format", scoring.answer_score(F.col("answer"), F.col("pred"), F.col("format")).alias("score"))
+    return scoring.generalized_accuracy(scored, ["format"], asked=100_000)
+
+
 @query("WITH q AS (SELECT doc_id AS question_id FROM labels), s AS (SELECT unnest(['image', 'table', 'text', 'image,table', 'image,text', 'table,text', 'image,table,text']) AS subset_key), g AS (SELECT question_id, m.model, subset_key FROM q, (VALUES ('a'), ('b')) m(model), s) SELECT question_id, model, list_aggregate(list_sort(string_split(subset_key, ',')), 'string_agg', ',') AS subset_key FROM g WHERE NOT (model = 'a' AND question_id % 2 = 0 AND subset_key = 'image')")
 def experiment_grid(spark, d):
     questions = read(spark, d, "labels").select(F.col("doc_id").alias("question_id"))
