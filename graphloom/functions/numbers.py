@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def anls(reference: Column, prediction: Column) -> Column:
     return F.when(longest == 0, 1.0).when(value <= 0.5, 0.0).otherwise(value)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def precision(x: Column) -> Column:
     """Digits after the point of a number as it is written; 3 without a point."""
     t = x.cast("string")
@@ -42,14 +49,18 @@ def float_equal(reference: Column, prediction: Column) -> Column:
     """Equal within 1 % to the reference, its hundredth or its hundredfold, or after half-even rounding to as many places
     as both have, at least 2 (compared up to 9).
     """
-    close = F.lit(False)
-    for r in (reference / 100, reference, reference * 100):
-        digits = F.greatest(F.lit(2), F.least(precision(prediction), precision(r)))
-        same = F.bround(r, 9) == F.bround(prediction, 9)
+    def same(v: Column) -> Column:
+        r, p = v["r"], v["p"]
+        out = F.bround(r, 9) == F.bround(p, 9)
         for n in range(2, 9):
-            same = F.when(digits == n, F.bround(r, n) == F.bround(prediction, n)).otherwise(same)
-        close = close | (F.abs(r - prediction) <= 0.01 * F.greatest(F.abs(r), F.abs(prediction))) | same
-    return close
+            out = F.when(v["digits"] == n, F.bround(r, n) == F.bround(p, n)).otherwise(out)
+        return (F.abs(r - p) <= 0.01 * F.greatest(F.abs(r), F.abs(p))) | out
+
+    def any_scale(v: Column) -> Column:
+        scaled = F.transform(F.array(v["r"] / 100, v["r"], v["r"] * 100), lambda r: F.struct(r.alias("r"), v["p"].alias("p"), F.greatest(F.lit(2), F.least(v["places"], precision(r))).alias("digits")))
+        return F.exists(scaled, same)
+
+    return bound(F.struct(reference.alias("r"), prediction.alias("p"), precision(prediction).alias("places")), any_scale)
 
 
 # The patterns of this and the next function are those of the scoring rules.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import anls, clean_answer, float_equal, needs_exact_match
+from ..functions.numbers import anls, bound, clean_answer, float_equal, needs_exact_match
 
 
 def answer_score(answer: Column, pred: Column, kind: Column) -> Column:
@@ -19,12 +19,16 @@ def answer_score(answer: Column, pred: Column, kind: Column) -> Column:
     number = lambda c: clean_answer(c).try_cast("double")
     whole = F.coalesce(a.try_cast("long") == p.try_cast("double").cast("long"), F.lit(False)).cast("double")
     floats = F.coalesce(float_equal(number(a), number(p)), F.lit(False)).cast("double")
-    x, y = clean_answer(a), clean_answer(p)
-    text = F.when(needs_exact_match(x), (x == y).cast("double")).otherwise(anls(x, y))
-    xs, ys = (F.array_sort(F.transform(c, clean_answer)) for c in (answer, pred))
-    exact = F.get(xs, F.lit(0)).try_cast("double").isNotNull() | needs_exact_match(F.get(xs, F.lit(0)))
-    worst = F.array_min(F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda v: anls(v["x"], v["y"])))
-    lists = F.when(F.size(xs) != F.size(ys), 0.0).when(exact, (xs == ys).cast("double")).otherwise(worst)
+    cleaned = F.struct(clean_answer(a).alias("x"), clean_answer(p).alias("y"))
+    text = bound(cleaned, lambda v: F.when(needs_exact_match(v["x"]), (v["x"] == v["y"]).cast("double")).otherwise(anls(v["x"], v["y"])))
+
+    def by_item(v: Column) -> Column:
+        first = F.get(v["x"], F.lit(0))
+        exact = first.try_cast("double").isNotNull() | needs_exact_match(first)
+        worst = F.array_min(F.zip_with(v["x"], v["y"], anls))
+        return F.when(F.size(v["x"]) != F.size(v["y"]), 0.0).when(exact, (v["x"] == v["y"]).cast("double")).otherwise(worst)
+
+    lists = bound(F.struct(*(F.array_sort(F.transform(c, clean_answer)).alias(n) for c, n in ((answer, "x"), (pred, "y")))), by_item)
     return F.when(kind == "Int", whole).when(kind == "Float", floats).when(kind.isin("Str", "None"), text).otherwise(lists)
 
 
