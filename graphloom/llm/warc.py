@@ -14,6 +14,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,7 +156,7 @@ def _parsed(content: bytes) -> Iterator[dict]:
 
 
 def _reader(settle: bool):
-    """Reads archives into rows; with ``settle`` whole responses are decoded at once and only their size and digest go on."""
+    """Reads archives into rows; with ``settle`` whole responses are decoded at once and only their size and digest go on, and segments go on compressed."""
     kinds = {"page_id": pa.int64(), "segment": pa.int32(), "total": pa.int64(), "framed": pa.bool_(), "body": pa.binary(), "payload_bytes": pa.int64()}
     schema = pa.schema([(n, kinds.get(n, pa.string())) for n in (f.split(" ")[0] for f in RECORD.split(", "))])
 
@@ -178,6 +179,8 @@ def _reader(settle: bool):
                     if settle and not number:
                         payload = _decoded(block, row["framed"], row["digest"]) if kind == "response" else None
                         row |= {"body": None, "payload_bytes": None if payload is None else len(payload), "payload_digest": None if payload is None else row["digest"] or _b32(payload)}
+                    if settle and number:
+                        row["body"] = zlib.compress(row["body"], 1)
                     rows.append(row)
                     held += len(row["body"] or b"")
                     if held > 16_000_000:
@@ -198,8 +201,8 @@ def _decoded(body: bytes, framed: bool, digest: str | None) -> bytes | None:
     return payload if digest is None or _b32(payload) == digest else None
 
 
-def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Decodes bodies, whole or in segments, and verifies lengths and digests."""
+def _payloads(batches: Iterator[pa.RecordBatch], packed: bool = False) -> Iterator[pa.RecordBatch]:
+    """Decodes bodies, whole or in segments (compressed ones if ``packed``), and verifies lengths and digests."""
     for b in (b.slice(a, 64) for b in batches for a in range(0, b.num_rows, 64)):
         out = []
         for row in b.to_pylist():
@@ -208,7 +211,7 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = {p["segment"]: p for p in row["parts"]}
                 copies = max(1, sum(p["segment"] == 1 for p in row["parts"]))  # rows that repeat a page repeat its records
                 order = sorted(parts)
-                body = b"".join(parts[i]["body"] for i in order)
+                body = b"".join(zlib.decompress(parts[i]["body"]) if packed else parts[i]["body"] for i in order)
                 total = next((p["total"] for p in row["parts"] if p["total"] is not None), None)
                 ok = order == list(range(1, len(order) + 1)) and len(row["parts"]) == copies * len(order) and total == len(body)
                 body = body.split(b"\r\n\r\n", 1)[1] if ok else None
@@ -255,7 +258,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """
     records = written(read_records(spark, path, settle=True), "warc-records")
     whole = records.filter("segment = 0 and type = 'response'").select("record_id", "page_id", "payload_bytes", "payload_digest")
-    put_together = reassembled(records).mapInArrow(_payloads, PAYLOAD)
+    put_together = reassembled(records).mapInArrow(partial(_payloads, packed=True), PAYLOAD)
     responses = whole.unionByName(put_together.select("record_id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")))
     revisits = records.filter("type = 'revisit'").select("page_id", "refers_to", "digest")
     named = responses.select("record_id", F.col("page_id").alias("response_id"), "payload_bytes", "payload_digest").distinct()
