@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,20 @@ def fold(id_column: str | Column, parts: int = 3) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % parts
 
 
-def with_columns_replaced(df: DataFrame, **columns: Column) -> DataFrame:
-    """An operator's own columns replace input columns of the same name."""
-    return df.withColumns(columns)
+def presence(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A set of ``2**bits`` bits, packed in words, in which the low bits of every value of a column of hashes are set.
+
+    Its size doesn't depend on the table's. Tasks leave rows out by it before they shuffle; what chance lets
+    through leaves in the join that follows.
+    """
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
+    words = rows.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def maybe_present(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    own = values.view(np.uint64) & np.uint64(64 * len(held) - 1)
+    return (held[own >> np.uint64(6)] >> (own & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import maybe_present, presence, text_key, written
 from .components import _forest, connected_components, contracted
 
 BLOCK = 8  # bits of a sub-block, whose values have a histogram of 256 counts
@@ -403,16 +403,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int, seed: int) -> DataF
     read; what chance lets through leaves in the join.
     """
     ids = ids.distinct()
-    slot = F.col("id").bitwiseAND(F.lit((1 << PRESENT) - 1))
-    words = ids.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("bits")).toArrow()
-    present = np.zeros(1 << PRESENT - 6, np.uint64)
-    present[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(present)
+    shared = docs.sparkSession.sparkContext.broadcast(presence(ids, "id", PRESENT))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << PRESENT) - 1)
-            some = np.flatnonzero(shared.value[own >> np.uint64(6)] >> (own & np.uint64(63)) & np.uint64(1))
+            some = np.flatnonzero(maybe_present(shared.value, b.column(0).to_numpy()))
             for at in range(0, len(some), 256):
                 c = b.take(pa.array(some[at : at + 256]))
                 s = [np.unique(shingle_hashes(t.as_py(), size, seed)).view(np.int64) for t in c.column(1)]

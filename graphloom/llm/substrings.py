@@ -15,10 +15,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import maybe_present, presence, text_key, written
 
 WINDOW = 16  # bytes that a cut depends on
 GEAR = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 16, 256, dtype=np.uint16)
+PRESENT = 26  # log2 of the bits that say which digests occur twice
 UNIT = "doc_id long, text_key long, digest long, start long, len long"
 
 
@@ -52,8 +53,12 @@ def chunk_ends(text: bytes | np.ndarray, bits: int, longest: int) -> np.ndarray:
     return np.unique(ends)
 
 
-def units(docs: DataFrame, *, bits: int, longest: int) -> DataFrame:
-    """Rows ``doc_id, text_key, digest, start, len`` (bytes): every two neighbouring chunks, or a text's only one."""
+def units(docs: DataFrame, *, bits: int, longest: int, twice: np.ndarray | None = None) -> DataFrame:
+    """Rows ``doc_id, text_key, digest, start, len`` (bytes): every two neighbouring chunks, or a text's only one.
+
+    ``len`` is negative for a text's last unit. With ``twice`` (``presence`` of digests) most units that occur once are left out.
+    """
+    held = None if twice is None else docs.sparkSession.sparkContext.broadcast(twice)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,13 +72,17 @@ def units(docs: DataFrame, *, bits: int, longest: int) -> DataFrame:
                         continue
                     edge = [0, *ends.tolist()]
                     a, z = (edge[:-2], edge[2:]) if len(edge) > 2 else (edge[:1], edge[1:])
-                    digests += [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(a, z, strict=True)]
-                    starts.append(np.array(a, np.int64))
-                    sizes.append(np.array(z, np.int64) - starts[-1])
-                    rows.append(np.full(len(a), i))
+                    own = np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(a, z, strict=True)], np.uint64).view(np.int64)
+                    size = np.array(z, np.int64) - np.array(a, np.int64)
+                    size[-1] = -size[-1]
+                    kept = np.arange(len(own)) if held is None else np.flatnonzero(maybe_present(held.value, own))
+                    digests.append(own[kept])
+                    starts.append(np.array(a, np.int64)[kept])
+                    sizes.append(size[kept])
+                    rows.append(np.full(len(kept), i))
                 if rows:
                     pick = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(pick), some.column(1).take(pick), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(sizes))], names=["doc_id", "text_key", "digest", "start", "len"])
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pick), some.column(1).take(pick), pa.array(np.concatenate(digests)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(sizes))], names=["doc_id", "text_key", "digest", "start", "len"])
 
     return docs.select(F.col("doc_id").cast("long"), text_key("text").alias("text_key"), "text").mapInArrow(cut, UNIT)
 
@@ -83,22 +92,25 @@ def repeated_spans(docs: DataFrame, *, min_bytes: int = 100, bits: int = 5, long
 
     Earlier is by (doc_id with null last, text, position); chunks average 2**bits bytes. ``start`` and
     ``len`` are bytes of the UTF-8 text, ``first_doc_id`` the earliest document that has the span's first
-    unit. Spans under ``min_bytes`` are chance and left out. Null and empty texts have none, nor has an
+    unit. Spans under ``min_bytes`` are chance and left out, but for those that are a whole text. Null and empty texts have none, nor has an
     empty table; rows equal in doc_id and text are one document and count once. First positions are
-    pre-aggregated by digest; only digests that occur twice are joined back, and Spark splits hot ones.
+    pre-aggregated by digest; those of digests that occur twice are a written table, so that Spark splits hot ones
+    in the join back, to which tasks send hardly any other units. Other columns of ``docs`` don't matter.
     """
     own = units(docs, bits=bits, longest=longest)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"), F.col("start"))
     first = own.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("digest", "first")
-    again = own.join(first, "digest").filter(place > F.col("first")).select("doc_id", "text_key", "start", "len", F.col("first.doc_id").alias("first_doc_id"))
+    first = written(first, "firsts")
+    own = units(docs, bits=bits, longest=longest, twice=presence(first, "digest", PRESENT))
+    again = own.join(first, "digest").filter(place > F.col("first")).select("doc_id", "text_key", "start", F.abs("len").alias("len"), (F.col("len") < 0).alias("ends"), F.col("first.doc_id").alias("first_doc_id"))
     again = again.dropDuplicates(["doc_id", "text_key", "start"])
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("start")
     ends = F.max(F.col("start") + F.col("len")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     spans = again.withColumn("new", (F.coalesce(ends, F.lit(-1)) < F.col("start")).cast("int")).withColumn("span", F.sum("new").over(by_doc))
     merged = spans.groupBy("doc_id", "text_key", "span").agg(
-        F.min("start").alias("start"), (F.max(F.col("start") + F.col("len")) - F.min("start")).alias("len"), F.count("*").alias("units"), F.min_by("first_doc_id", "start").alias("first_doc_id")
+        F.min("start").alias("start"), (F.max(F.col("start") + F.col("len")) - F.min("start")).alias("len"), F.count("*").alias("units"), F.min_by("first_doc_id", "start").alias("first_doc_id"), F.max("ends").alias("ends")
     )
-    return merged.filter(F.col("len") >= min_bytes).drop("span")
+    return merged.filter((F.col("len") >= min_bytes) | (F.col("start") == 0) & F.col("ends")).drop("span", "ends")
 
 
 def dedup_substrings(docs: DataFrame, **settings) -> DataFrame:
@@ -126,4 +138,5 @@ def dedup_substrings(docs: DataFrame, **settings) -> DataFrame:
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Repeated spans of all whole texts of the table."""
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")

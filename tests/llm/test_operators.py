@@ -440,6 +440,35 @@ def test_substrings(spark, docs, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
+def plain_spans(rows, min_bytes=100):
+    """Repeated units by their bytes, in the order of (doc_id with null last, text key, start), and the spans that touching ones make."""
+    made, first = [], {}
+    for doc, key, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        raw = (text or "").encode()
+        edge = [0, *substrings.chunk_ends(raw, 5, 256).tolist()]
+        pairs = list(zip(edge[:-2], edge[2:])) if len(edge) > 2 else list(zip(edge[:1], edge[1:]))
+        repeats = []
+        for a, z in pairs:
+            if first.setdefault(raw[a:z], (doc, key, a)) != (doc, key, a):
+                repeats.append((a, z, first[raw[a:z]][0]))
+        spans = []
+        for a, z, d in repeats:
+            if spans and spans[-1][1] >= a:
+                spans[-1][1] = max(spans[-1][1], z)
+                spans[-1][2] += 1
+            else:
+                spans.append([a, z, 1, d])
+        made += [(doc, a, z - a, n, d) for a, z, n, d in spans if z - a >= min_bytes or (a == 0 and z == len(raw))]
+    return made
+
+
+def test_spans_by_brute_force(spark, docs):
+    d = docs.union(spark.createDataFrame([row(100 + i, "a short text that is copied") for i in range(3)], SCHEMA))
+    rows = {(r.doc_id, r.k, r.text) for r in d.select("doc_id", substrings.text_key("text").alias("k"), "text").collect()}
+    got = Counter((r.doc_id, r.start, r.len, r.units, r.first_doc_id) for r in substrings.repeated_spans(d).collect())
+    assert got == Counter(plain_spans(rows)) and (101, 0, 27, 1, 100) in got
+
+
 def test_chunks_resist_shifts():
     r = random.Random(2)
     text = " ".join(r.choices(WORDS, k=3000)).encode()
