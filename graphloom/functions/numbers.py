@@ -71,6 +71,21 @@ def clean_answer(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, "^\\$+", "")), "%+$", ""))
 
 
+# Endings that come off, one after the other.
+UNITS = ("kg", "mm", "m", "meters", "acres", "minutes", "mile", "miles", "million", "thousand", "billion")
+
+
+def clean_answer_with_units(text: Column) -> Column:
+    """As ``clean_answer``, after commas and units; a unit takes every letter of its own off the end."""
+    t = F.trim(F.replace(F.trim(F.lower(text)), F.lit(","), F.lit("")))
+    for unit in UNITS:
+        t = F.regexp_replace(t, f"\\s*[{unit}]*{unit}$", "")
+    t = F.trim(F.regexp_replace(t, "\\s*\\([^)]*\\)", ""))
+    t = F.trim(F.regexp_replace(t, "^['\"]|['\"]$", ""))
+    t = F.trim(F.regexp_replace(t, "^\\$+", ""))
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, "^£+", "")), "%+$", ""))
+
+
 def needs_exact_match(text: Column) -> Column:
     """Urls, files, pages, phone numbers, times, dates and mail addresses aren't scored by edit distance."""
     return text.contains("https://") | text.endswith(".py") | text.endswith("ipynb") | text.startswith("page") | text.rlike("^\\d+(-\\d+|\\s\\d+)?$") | text.contains("a.m.") | text.contains("p.m.") | text.rlike("^\\d{4}[-\\s]\\d{2}([-\\s]\\d{2})?$") | text.rlike("^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$")

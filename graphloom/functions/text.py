@@ -41,7 +41,7 @@ def tokens(text: Column) -> Column:
 def split_markers(text: Column, *markers: str) -> Column:
     """Trimmed, non-blank parts between any of the markers; null gives an empty array."""
     pattern = "|".join("\\Q" + m + "\\E" for m in markers)
-    parts = F.filter(F.transform(F.split(text, pattern), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, pattern), lambda p: F.trim(p)), lambda p: p != "")
     return F.coalesce(parts, F.array().cast("array<string>"))
 
 
@@ -98,3 +98,44 @@ def truncate_sentence(text: Column, limit: int) -> Column:
     back = lambda c: limit - F.locate(c, F.reverse(cut))  # noqa: E731  0-based place of the last c
     stop, line = back("."), back("\n")
     return F.when(F.length(text) <= limit, text).when((F.locate(".", cut) > 0) & (stop > limit * 0.8), F.substring(text, F.lit(1), stop + 1)).when((F.locate("\n", cut) > 0) & (line > limit * 0.8), F.substring(text, F.lit(1), line)).otherwise(F.concat(cut, F.lit("...")))
+
+
+def cache_key(mode: Column, kind: Column, *parts: Column) -> Column:
+    """``mode:kind:hash`` of the joined parts."""
+    return F.concat_ws(":", mode, kind, F.md5(F.concat(*parts)))
+
+
+def parsed_cache_key(key: Column) -> Column:
+    """Struct mode, cache_type, hash; null where there are fewer than three parts. The hash may hold colons."""
+    p = F.split(key, ":", 3)
+    return F.when(F.size(p) == 3, F.struct(p[0].alias("mode"), p[1].alias("cache_type"), p[2].alias("hash")))
+
+
+def uuid_of(text: Column) -> Column:
+    """32 hexadecimal digits of a version 4 UUID made of the text's SHA-256."""
+    h = F.sha2(text, 256)
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 12), F.lit("4"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+
+
+def has_cjk(text: Column) -> Column:
+    return text.rlike("[\\u4e00-\\u9fff]")
+
+
+def extracted_answer(text: Column) -> Column:
+    """What stands between the two labels, trimmed; the whole text after the first where the second is missing."""
+    after = F.substring_index(text, "Extracted answer:", -1)
+    return F.trim(F.substring_index(after, "Answer format:", 1))
+
+
+def keywords(text: Column) -> Column:
+    """Struct high and low: the keyword lists in the first JSON object of a model's text, empty where there is none."""
+    parsed = F.from_json(F.regexp_extract(text, "(?s)\\{.*\\}", 0), "high_level_keywords array<string>, low_level_keywords array<string>")
+    none = F.array().cast("array<string>")
+    return F.struct(F.coalesce(parsed["high_level_keywords"], none).alias("high"), F.coalesce(parsed["low_level_keywords"], none).alias("low"))
+
+
+def resolved_keywords(query: Column, high: Column, low: Column) -> Column:
+    """Struct high and low: a query under 50 characters without keywords is its own low-level keyword."""
+    bare = (F.size(high) == 0) & (F.size(low) == 0) & (F.length(query) < 50)
+    return F.struct(high.alias("high"), F.when(bare, F.array(query)).otherwise(low).alias("low"))

@@ -70,3 +70,19 @@ def cached_for_chunks(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     """Cached extractions of chunks (a row of ``chunk_id, cache_id`` for each), in order of creation within a chunk."""
     found = chunks.join(cache.filter("cache_type = 'extract'"), "cache_id")
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("chunk_id").orderBy("create_time", "cache_id"))).withColumn("earliest", F.min("create_time").over(Window.partitionBy("chunk_id")))
+
+
+def derived_status(rows: DataFrame) -> DataFrame:
+    """Processed documents whose multimodal part is known not to be done are ``preprocessed``."""
+    waits = (F.col("status") == "processed") & ~F.coalesce("multimodal_processed", F.lit(True))
+    return rows.withColumn("status", F.when(waits, "preprocessed").otherwise(F.col("status")))
+
+
+def counts_by_document(entities: DataFrame, relations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``doc, entities, relations``: distinct names and pairs of each document, through ``chunks(chunk_id, doc)``."""
+    of = chunks.withColumnRenamed("chunk_id", "source_id")
+    names = entities.join(of, "source_id").groupBy("doc").agg(F.count_distinct("entity_id").alias("entities"))
+    pair = F.struct(F.least("src", "tgt"), F.greatest("src", "tgt"))
+    pairs = relations.join(of, "source_id").groupBy("doc").agg(F.count_distinct(pair).alias("relations"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return names.join(pairs, "doc", "full").select("doc", none("entities"), none("relations"))

@@ -12,7 +12,7 @@ def parsed_records(rows: DataFrame) -> DataFrame:
     """One row per record line of ``chunk_id, output``: ``ord`` and its trimmed ``fields``; damaged separators are mended."""
     mended = F.regexp_replace("output", "<\\|+#\\|*>|<\\|*#\\|+>|<#>|<\\|#>", TUPLE_SEP.replace("$", ""))
     lines = rows.select("chunk_id", F.posexplode(split_markers(mended, "\n", END_MARK, END_MARK.lower())).alias("ord", "line"))
-    return lines.select("chunk_id", "ord", F.transform(F.split("line", "\\Q" + TUPLE_SEP + "\\E"), F.trim).alias("fields"))
+    return lines.select("chunk_id", "ord", F.transform(F.split("line", "\\Q" + TUPLE_SEP + "\\E"), lambda f: F.trim(f)).alias("fields"))
 
 
 def entities(records: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import anls, bound, clean_answer, float_equal, needs_exact_match
+from ..functions.numbers import anls, bound, clean_answer, clean_answer_with_units, float_equal, needs_exact_match
 
 
 def answer_score(answer: Column, pred: Column, kind: Column) -> Column:
@@ -32,6 +32,58 @@ def answer_score(answer: Column, pred: Column, kind: Column) -> Column:
     return F.when(kind == "Int", whole).when(kind == "Float", floats).when(kind.isin("Str", "None"), text).otherwise(lists)
 
 
+def document_answer_score(answer: Column, pred: Column, kind: Column) -> Column:
+    """0 to 1 by the rules for long documents, on arrays as in ``answer_score``; formats Integer, Float, String, None, List.
+
+    Numbers lose commas and units. A list's score is the mean over its answers of the best ANLS among the predictions,
+    times the root of the share of answers among predictions where there are more of the latter; lists that start
+    with a number or an exact class must be equal. A null answer or prediction counts as an empty text.
+    """
+    text = lambda c: clean_answer_with_units(F.coalesce(F.get(c, F.lit(0)), F.lit("")))
+
+    def single(v: Column) -> Column:
+        whole = F.coalesce(v["x"].try_cast("long") == v["y"].try_cast("long"), F.lit(False)).cast("double")
+        floats = F.coalesce(float_equal(v["x"].try_cast("double"), v["y"].try_cast("double")), F.lit(False)).cast("double")
+        words = F.when(needs_exact_match(v["x"]), (v["x"] == v["y"]).cast("double")).otherwise(anls(v["x"], v["y"]))
+        return F.when(kind == "Integer", whole).when(kind == "Float", floats).otherwise(words)
+
+    def listed(v: Column) -> Column:
+        first = F.get(v["x"], F.lit(0))
+        best = F.transform(v["x"], lambda x: F.array_max(F.transform(v["y"], lambda y: anls(x, y))))
+        mean = F.aggregate(best, F.lit(0.0), lambda s, b: s + F.coalesce(b, F.lit(0.0))) / F.size(v["x"])
+        share = F.sqrt(F.least(F.lit(1.0), F.size(v["x"]) / F.size(v["y"])))
+        exact = first.try_cast("double").isNotNull() | needs_exact_match(first)
+        return F.when((F.size(v["x"]) == 0) | (F.size(v["y"]) == 0), 0.0).when(exact, (v["x"] == v["y"]).cast("double")).otherwise(mean * share)
+
+    items = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: clean_answer_with_units(F.coalesce(t, F.lit(""))))
+    lists = bound(F.struct(items(answer).alias("x"), items(pred).alias("y")), listed)
+    return F.when(kind.isin("Integer", "Float", "String", "None"), bound(F.struct(text(answer).alias("x"), text(pred).alias("y")), single)).otherwise(lists)
+
+
+# The elements of the fine-grained table, and its names for questions that locate something.
+ELEMENTS = ("Text", "Layout", "Figure", "Table")
+LOCATING = {"topic2title": "Cross_Title", "summary2title": "Para_Title", "summary2tab": "Cross_Table", "extract_fig2tab": "Figure_Table"}
+
+
+def fine_grained(rows: DataFrame) -> DataFrame:
+    """``dimension, value, n, total, score`` of ``task_tag, question_type, evidence_sources, pages, score``: sums and means by
+    task, element, single or several pages, several elements, and by task with pages and element or kind of location.
+    A question counts once for each element it names.
+    """
+    known = F.filter("evidence_sources", lambda e: e.isin(*ELEMENTS))
+    pages = F.when(F.col("pages") > 1, "Multi_Page").when(F.col("pages") == 1, "Single_Page")
+    key = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.alias("value"))
+    path = lambda *parts: F.concat(*(x for p in parts for x in (F.lit("/"), p)))
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in LOCATING.items() for x in kv)), F.col("question_type"))
+    none = F.array(key("Fine_Grained", F.lit(None).cast("string")))
+    fine = F.when(F.col("task_tag").isin("Understanding", "Reasoning"), F.transform(known, lambda e: key("Fine_Grained", path(F.col("task_tag"), pages, e))))
+    fine = fine.when(F.col("task_tag") == "Locating", F.array(key("Fine_Grained", path(F.col("task_tag"), F.lit("Cross_Element"), kind))))
+    plain = F.array(key("Main_Task", F.col("task_tag")), key("Evidence_Pages", pages), key("Num_of_Element_Types", F.when(F.size("evidence_sources") > 1, "Cross_Element")))
+    keys = F.concat(plain, F.transform(known, lambda e: key("Element_Type", e)), F.coalesce(fine, none))
+    each = rows.select("score", F.explode(F.filter(keys, lambda k: k["value"].isNotNull())).alias("k")).select("k.*", "score")
+    return each.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"), F.round(F.avg("score"), 6).alias("score"))
+
+
 def generalized_accuracy(rows: DataFrame, by: list[str], asked: int) -> DataFrame:
     """Mean ``score`` of what was answered, and rectified to all the questions that were asked."""
     m = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("m"))

@@ -1 +1,3 @@
-"""Plans of the knowledge-graph engine."""
+"""The engine's queries by name; importing the package registers all of them."""
+
+from . import catalog, state_queries  # noqa: F401

@@ -74,3 +74,38 @@ def test_stream(spark, tmp_path):
     ingest.ingest(ingest.document_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.content_summary for r in got.collect()) == ["new", "one", "two"]
+
+
+def test_parts_are_trimmed_of_white_space_only(spark):
+    from graphloom.operators import extraction
+
+    got = spark.createDataFrame([("0 zero ; 1 one;  22 ",)], "t string").select(text.split_markers(F.col("t"), ";").alias("p")).first().p
+    assert got == ["0 zero", "1 one", "22"]
+    record = spark.createDataFrame([("c", "entity<|#|> 1 Main St 1 <|#|>Place 2<|#|> 3 floors")], "chunk_id string, output string")
+    assert extraction.parsed_records(record).first().fields == ["entity", "1 Main St 1", "Place 2", "3 floors"]
+
+
+def test_answers_with_units(spark):
+    from graphloom.functions import numbers
+
+    given = ["$1,200 Miles", "5 kg", "'about' 12 million", "£30%", "3 (three)", "team"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    got = [r.c for r in rows.select("i", numbers.clean_answer_with_units(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got == ["1200", "5", "about' 12", "30", "3", "tea"]
+
+
+def test_texts_of_models(spark):
+    rows = spark.createDataFrame([(0, 'x {"high_level_keywords": ["a"], "low_level_keywords": ["b", "c"]} y', "p Extracted answer: [1] Answer format: List"), (1, "no", "plain")], "i int, k string, a string")
+    r0, r1 = rows.select("i", text.keywords(F.col("k")).alias("k"), text.extracted_answer(F.col("a")).alias("a"), text.has_cjk(F.col("a")).alias("cjk")).orderBy("i").collect()
+    assert (list(r0.k.high), list(r0.k.low), r0.a) == (["a"], ["b", "c"], "[1]")
+    assert (list(r1.k.high), list(r1.k.low), r1.a, r1.cjk) == ([], [], "plain", False)
+    q = rows.limit(1).select(text.resolved_keywords(F.lit("short query"), F.array().cast("array<string>"), F.array().cast("array<string>")).alias("k")).first().k
+    assert (list(q.high), list(q.low)) == ([], ["short query"])
+
+
+def test_uuid(spark):
+    import hashlib
+    import uuid
+
+    want = uuid.UUID(bytes=hashlib.sha256("größe".encode()).digest()[:16], version=4).hex
+    assert spark.range(1).select(text.uuid_of(F.lit("größe")).alias("u")).first().u == want
