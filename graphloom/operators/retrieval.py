@@ -22,11 +22,16 @@ def node_data(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.join(nodes, "entity_id").join(degrees(edges).withColumnRenamed("degree", "rank"), "entity_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 
-def related_edges(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges of the seeds (``entity_id, ord``), each once, ranked by degrees and weight; ``ord`` is the place."""
+def related_edges(seeds: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Edges of the seeds (``entity_id, ord``), each once, ranked by degrees and weight; ``ord`` is the place.
+
+    With ``limit`` only the first are kept, so that the edges of a hub aren't numbered all in one task.
+    """
     hit = incident(edges_with_rank := edge_degrees(edges)).join(seeds, F.col("node") == F.col("entity_id"))
     once = first_seen(hit, ["src", "tgt"], ["ord", "src", "tgt"]).select(*edges_with_rank.columns, F.col("ord").alias("seed_ord"))
-    return once.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("rank"), F.desc("weight"), "seed_ord", "src", "tgt")))
+    order = [F.desc("rank"), F.desc("weight"), "seed_ord", "src", "tgt"]
+    once = once if limit is None else once.orderBy(*order).limit(limit)
+    return once.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
 
 
 def related_entities(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -69,7 +74,9 @@ def weighted_polling(chunks: DataFrame, most: int = 5, least: int = 1) -> DataFr
     chosen = own.withColumn("first", F.col("place") <= F.col("quota"))
     have = chosen.groupBy("ord").agg(F.max("quota").alias("quota"), F.count("*").alias("has"))
     spare = have.agg(F.coalesce(F.sum(F.greatest(F.col("quota") - F.col("has"), F.lit(0))), F.lit(0)).alias("spare"))
-    filled = chosen.crossJoin(F.broadcast(spare)).withColumn("refill", F.sum((~F.col("first")).cast("int")).over(Window.orderBy("rank", "place").rowsBetween(Window.unboundedPreceding, 0)))
+    # no owner gives more than its quota and all that is left over, which bounds what the next window sorts
+    near = chosen.crossJoin(F.broadcast(spare)).filter(F.col("place") <= F.col("quota") + F.col("spare"))
+    filled = near.withColumn("refill", F.sum((~F.col("first")).cast("int")).over(Window.orderBy("rank", "place").rowsBetween(Window.unboundedPreceding, 0)))
     kept = filled.filter(F.col("first") | (F.col("refill") <= F.col("spare")))
     return kept.select("chunk_id", "ord", "place", F.when(F.col("first"), 0).otherwise(1).alias("round"))
 
