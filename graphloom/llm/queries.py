@@ -11,6 +11,7 @@ from .lines import OP3_SQL, op3_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .mpeg import op10_mpeg_audio
 from .packing import op4_best_fit_packing
+from .repair import op13_conversation_repair
 from .simhash import op1_simhash
 from .substrings import op7_substring_dedup
 from .topk import OP2_SQL, op2_exact_top_k
@@ -18,6 +19,6 @@ from .toxicity import op9_toxicity
 from .warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_exact_top_k, op3_line_dedup, op4_best_fit_packing, op5_mixing, op6_warc, op7_substring_dedup, op8_language_id, op9_toxicity, op10_mpeg_audio)
+    f.__name__: f for f in (op1_simhash, op2_exact_top_k, op3_line_dedup, op4_best_fit_packing, op5_mixing, op6_warc, op7_substring_dedup, op8_language_id, op9_toxicity, op10_mpeg_audio, op13_conversation_repair)
 }
 ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_mixing": OP5_SQL, "op6_warc": OP6_SQL}
