@@ -1,10 +1,10 @@
 """Merkle manifest of a dataset: supersteps over RDDs of nodes, messages up to parents, sibling paths back down to leaves.
 
 A tree for each language, eight children to a node, and a tree over their roots. In a superstep every node sends its
-digest to its parent by key; a parent that has heard from all its children hashes them and sends on. The
-runs of children that met are saved in the shared folder, which cuts lineage. Reverse supersteps join a level's runs
-with what their parents know and send each child the siblings on its way to the root. No key ever gets more than eight
-messages, and neither a tree nor a level is held in one place: the driver sees a count, the height that follows from it, and the root.
+digest by key to its ancestor three levels up; one that has heard from all below it hashes the levels between and sends on.
+The runs that met are saved in the shared folder, which cuts lineage. Reverse supersteps join the runs
+with what their ancestors know and send each node the siblings on its way to the root. No key ever gets more than 512
+messages, and neither a tree nor a level is held in one place: the driver sees counts, the height that follows from them, and the root.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, table, written
 
-FAN = 8
+FAN, STEP = 8, 3  # children of a node; levels that a superstep climbs
+SPAN = FAN**STEP
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 Sides = tuple[bytes, bytes]  # digests of the siblings before and after a node, put together
 
@@ -68,70 +69,85 @@ def _parts(sc: SparkContext, n: int) -> int:
 
 def _saved(rdd: RDD, spark: SparkSession, label: str) -> RDD:
     path = fresh_path(spark, label)
-    rdd.saveAsPickleFile(path, 64)
+    rdd.saveAsPickleFile(path, 8)
     return spark.sparkContext.pickleFile(path)
 
 
-def height(size: int) -> int:
-    return 0 if size <= 1 else 1 + height(-(-size // FAN))
+def height(size: int, fan: int = FAN) -> int:
+    return 0 if size <= 1 else 1 + height(-(-size // fan), fan)
 
 
 def _sent(node: tuple) -> tuple:
     tree, place, size, own, payload = node
-    return (tree, place // FAN), (place % FAN, size, own, payload)
+    return (tree, place // SPAN), (place % SPAN, size, own, payload)
 
 
 def _heard(met: tuple) -> tuple:
-    """A parent's run: it is complete once all children that its place leaves it have sent."""
+    """An ancestor's run: it is complete once all that its place leaves it have sent."""
     (tree, place), messages = met
     run = sorted(messages, key=lambda m: m[0])
     size = run[0][1]
-    if [m[0] for m in run] != list(range(min(FAN, size - FAN * place))):
-        raise ValueError(f"tree {tree}: children of node {place} are missing or repeated")
+    if [m[0] for m in run] != list(range(min(SPAN, size - SPAN * place))):
+        raise ValueError(f"tree {tree}: nodes below {place} are missing or repeated")
     return (tree, place), (size, [(own, payload) for _, _, own, payload in run])
 
 
+def _hashed(size: int, digests: list[bytes]) -> list[list[bytes]]:
+    """The levels from a run up to its ancestor, ``STEP`` further up, or to the root where the whole tree is there."""
+    levels = [digests]
+    for _ in range(min(STEP, height(size))):
+        last = levels[-1]
+        levels.append([digest(*last[i : i + FAN]) for i in range(0, len(last), FAN)])
+    return levels
+
+
 def _forwarded(run: tuple) -> tuple:
     (tree, place), (size, children) = run
-    return tree, place, -(-size // FAN), digest(*(own for own, _ in children)), None
+    return tree, place, -(-size // SPAN), _hashed(size, [own for own, _ in children])[-1][0], None
 
 
-def climb(nodes: RDD, most: int, total: int, spark: SparkSession) -> tuple[list[RDD], RDD]:
-    """Supersteps up from ``(tree, place, size, digest, payload)``, ``size`` being the number of nodes of the tree's level.
+def climb(nodes: RDD, most: int, total: int, spark: SparkSession) -> tuple[list[RDD], list[RDD]]:
+    """Supersteps up from ``(tree, place, size, digest, payload)``, ``size`` (2 at least) being the number of the tree's nodes there.
 
-    Gives the runs of each level, ``((tree, place of the parent), (size, [(digest, payload) of each child]))``, and the
-    roots, ``(tree, (height, digest, payload of a lone leaf))``. ``most`` is the largest tree's number of leaves.
+    Gives the runs that met in each, ``((tree, place above), (size, [(digest, payload) of each]))``, and the roots
+    that each completed, ``(tree, (supersteps, digest, None))``. ``most`` is the largest tree's number of leaves.
     """
     levels: list[RDD] = []
-    roots = nodes.filter(lambda n: n[2] == 1).map(lambda n: (n[0], (0, n[3], n[4])))
-    for level in range(1, height(most) + 1):
-        total = max(1, -(-total // FAN))
-        runs = _saved(nodes.filter(lambda n: n[2] > 1).map(_sent).groupByKey(_parts(spark.sparkContext, total)).map(_heard), spark, f"merkle-runs-{level}")
-        levels.append(runs)
-        nodes = runs.map(_forwarded)
-        roots = roots.union(nodes.filter(lambda n: n[2] == 1).map(lambda n, level=level: (n[0], (level, n[3], None))))
+    roots: list[RDD] = []
+    for step in range(1, height(most, SPAN) + 1):
+        total = max(1, -(-total // SPAN))
+        met = nodes.map(_sent).groupByKey(_parts(spark.sparkContext, total * FAN)).coalesce(_parts(spark.sparkContext, total * FAN))
+        levels.append(_saved(met.map(_heard), spark, f"merkle-runs-{step}"))
+        roots.append(levels[-1].filter(lambda r: r[1][0] <= SPAN).map(_forwarded).map(lambda n, step=step: (n[0], (step, n[3], None))))
+        nodes = levels[-1].filter(lambda r: r[1][0] > SPAN).map(_forwarded)
     return levels, roots
 
 
 def _passed(met: tuple) -> Iterator[tuple]:
-    """A run and what its parent knows: each child hears of its siblings, then of the parent's way."""
-    (tree, place), ((_, children), (top, way)) = met
-    digests = [own for own, _ in children]
+    """A run and what its ancestor knows: each node hears of its siblings and its parents' siblings, then of the ancestor's way."""
+    (tree, place), ((size, children), (top, way)) = met
+    levels = _hashed(size, [own for own, _ in children])[:-1]
     for i, (own, payload) in enumerate(children):
-        yield (tree, FAN * place + i), (top, ((b"".join(digests[:i]), b"".join(digests[i + 1 :])), *way)), own, payload
+        sides, at = [], i
+        for level in levels:
+            run = at // FAN * FAN
+            sides.append((b"".join(level[run:at]), b"".join(level[at + 1 : run + FAN])))
+            at //= FAN
+        yield (tree, SPAN * place + i), (top, (*sides, *way)), own, payload
 
 
 def descend(levels: list[RDD], roots: RDD, total: int, spark: SparkSession) -> RDD:
     """Reverse supersteps: ``((tree, place), (top, way), digest, payload)`` of every leaf below a root.
 
-    ``roots`` has ``(tree, (height, top, way))``; ``way`` holds the siblings' digests before and after a node, level by
-    level up to the root, and a leaf's begins at its own run. A root of height zero is a leaf itself and isn't among them.
+    ``roots`` has ``(tree, (supersteps, top, way))``; ``way`` holds the siblings' digests before and after a node, level by
+    level up to the root, and a leaf's begins at its own run. A root of no supersteps is a leaf itself and isn't among them.
     """
     known: RDD | None = None
-    for level in range(len(levels), 0, -1):
-        here = roots.filter(lambda r, level=level: r[1][0] == level).map(lambda r: ((r[0], 0), r[1][1:]))
+    for step in range(len(levels), 0, -1):
+        parts = _parts(spark.sparkContext, -(-total // SPAN**step) * FAN)
+        here = roots.filter(lambda r, step=step: r[1][0] == step).map(lambda r: ((r[0], 0), r[1][1:]))
         known = here if known is None else known.map(lambda n: n[:2]).union(here)
-        known = levels[level - 1].join(known, _parts(spark.sparkContext, -(-total // FAN**level))).flatMap(_passed)
+        known = levels[step - 1].join(known, parts).coalesce(parts).flatMap(_passed)
     return known
 
 
@@ -149,22 +165,24 @@ def proof_digest(way: Iterable[Sides]) -> bytes:
 def proofs(documents: DataFrame, now: Column) -> tuple[RDD, bytes] | None:
     """Every document's ``(doc_id, leaf, digest now, subroot, way)``, and the root; None for an empty table."""
     spark = documents.sparkSession
-    leaves = written(placed_leaves(documents, now), "merkle-placed")
+    sc, leaves = spark.sparkContext, written(placed_leaves(documents, now), "merkle-placed")
     total, most = leaves.agg(F.count("*"), F.max("size")).first()
     if not total:
         return None
-    nodes = leaves.rdd.map(lambda r: (r.tree, r.place, r.size, bytes(r.leaf), (r.doc_id, bytes(r.now))))
-    levels, subroots = climb(nodes, most, total, spark)
-    subroots = _saved(subroots, spark, "merkle-subroots")
+    nodes = lambda of: leaves.filter(of).rdd.map(lambda r: (r.tree, r.place, r.size, bytes(r.leaf), (r.doc_id, bytes(r.now))))
+    levels, roots = climb(nodes("size > 1"), most, total, spark)
+    subroots = sc.union([nodes("size = 1").map(lambda n: (n[0], (0, n[3], n[4]))), *roots])
+    subroots = _saved(subroots.sortByKey(numPartitions=_parts(sc, total)).coalesce(_parts(sc, total)), spark, "merkle-subroots")
     trees = subroots.count()
-    tops = subroots.sortByKey(numPartitions=_parts(spark.sparkContext, trees)).zipWithIndex().map(lambda x: (-1, x[1], trees, x[0][1][1], (x[0][0], *x[0][1])))
-    upper, root = climb(tops, trees, trees, spark)
-    root = root.first()[1][1]
-    if upper:
-        ways = descend(upper, spark.sparkContext.parallelize([(-1, (height(trees), root, ()))], 1), trees, spark)
+    tops = subroots.zipWithIndex().map(lambda x: (-1, x[1], trees, x[0][1][1], (x[0][0], *x[0][1])))
+    if trees > 1:
+        upper, top = climb(tops, trees, trees, spark)
+        root = top[-1].first()[1][1]
+        ways = descend(upper, sc.parallelize([(-1, (len(upper), root, ()))], 1), trees, spark)
     else:
+        root = tops.first()[3]
         ways = tops.map(lambda n: ((-1, 0), (root, ()), n[3], n[4]))
-    # (tree, (height, subroot, way from there), payload of a lone leaf)
+    # (tree, (supersteps, subroot, way from there), payload of a lone leaf)
     below = _saved(ways.map(lambda n: (n[3][0], (n[3][1], n[2], n[1][1]), n[3][3])), spark, "merkle-ways")
     alone = below.filter(lambda n: n[2] is not None).map(lambda n: (n[2][0], n[1][1], n[2][1], n[1][1], n[1][2]))
     if not levels:

@@ -63,7 +63,7 @@ def results(df):
     return sorted((tuple(r) for r in df.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()), key=repr)
 
 
-@pytest.mark.parametrize("n, langs", [(1, ["en"]), (1, [None]), (8, ["en"]), (9, ["en"]), (2, ["en", None]), (600, ["en", "de", None, "Ünï", "𐐀", "￿"]), (90, [f"l{i}" for i in range(70)])])
+@pytest.mark.parametrize("n, langs", [(1, ["en"]), (1, [None]), (8, ["en"]), (9, ["en"]), (2, ["en", None]), (600, ["en", "de", None, "Ünï", "𐐀", "￿"]), (90, [f"l{i}" for i in range(70)]), (1300, [f"l{i}" for i in range(600)])])
 def test_manifest(spark, n, langs):
     r = random.Random(n)
     rows = [(r.randrange(4 * n), f"Text {i} ÄB", langs[i % len(langs)] if i % 2 else langs[0], r.choice(["a", None]), r.choice([None, i])) for i in range(n)]
