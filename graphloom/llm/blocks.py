@@ -391,12 +391,15 @@ def _in_article(b: Block) -> bool:
 
 
 def train(pages: DataFrame, *, sample_pages: int = 240, longest: int = 100_000, layouts: int = 700, epochs: int = 7, seed: int = 7) -> Labeller:
-    """A labeller from at most ``sample_pages`` pages of up to ``longest`` characters, chosen by their hash, and ``layouts`` pages drawn around their paragraphs.
+    """A labeller from at most ``sample_pages`` pages of up to ``longest`` characters, chosen by the hash of id and html, and ``layouts`` pages drawn around their paragraphs.
 
     Pages with an ``article`` or ``main`` teach their own labels and give paragraphs; without any, a few words stand in, so a
     table without such pages still gives a labeller of layouts. Null pages teach nothing.
     """
-    rows = pages.select("html", F.xxhash64("html").alias("h")).filter(F.length("html") <= longest).orderBy("h", "html").limit(sample_pages).collect()
+    rows = pages.select("html", F.xxhash64("page_id", "html").alias("h")).filter(F.length("html") <= longest)
+    # about twice the sample comes through by hash, so that tasks send no more than that to be ordered
+    share = min(1.0, 2 * (sample_pages + 40) / max(1, pages.count()))
+    rows = rows.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("h", "html").limit(sample_pages).collect()
     found = [b for b in (blocks_of(r.html) for r in rows) if b]
     real = [(b, np.array([_in_article(x) for x in b])) for b in found]
     real = [(b, y) for b, y in real if y.any()]
