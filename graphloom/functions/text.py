@@ -49,15 +49,37 @@ def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws(FIELD_SEP, F.least(a, b), F.greatest(a, b))
 
 
+# Full-width forms and the plain ones they become; marks that come off when they enclose a name.
+WIDE = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９－＋／＊（）—　"
+NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-+/*()- "
+ENCLOSING = ('""', "''", "“”", "‘’", "《》")
+HAN, BESIDE_HAN = "[\\u4e00-\\u9fa5]", "[a-zA-Z0-9()\\[\\]@#$%!&*\\-=+_]"
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
+def normalized(text: Column, inner_quotes: bool = False) -> Column:
+    """Extracted text as it is stored: markup off, full-width forms plain, no blanks beside Chinese characters but those
+    between other words, enclosing quotes off where none of their kind are inside, short numbers dropped.
+
+    With ``inner_quotes`` Chinese quotes and plain ones beside Chinese characters go, and hard blanks become blanks.
+    """
+    t = F.translate(F.regexp_replace(text, "(?i)</p\\s*>|<p\\s*>|<p/>|</br\\s*>|<br\\s*>|<br/>", ""), WIDE, NARROW)
+    t = F.regexp_replace(t, f"(?U)(?<={HAN})\\s+(?={HAN}|{BESIDE_HAN})|(?<={BESIDE_HAN})\\s+(?={HAN})", "")
+    for left, right in ENCLOSING:
+        t = F.regexp_replace(t, f"^{left}([^{left}{right}]*){right}$", "$1")
+    if inner_quotes:
+        t = F.regexp_replace(F.translate(t, "“”‘’", ""), f"['\"]+(?={HAN})|(?<={HAN})['\"]+", "")
+        t = F.regexp_replace(F.translate(t, "\u00a0", " "), "(?<=[^\\d])\u202f", " ")
+    t = _stripped(t)
+    return F.regexp_replace(t, "^(?:[0-9]{1,2}|(?=.{1,5}$)[0-9.]*\\.[0-9.]*)$", "")
+
+
 def normalize_name(text: Column) -> Column:
-    """Names as they are stored: markup and outer quotes off, full-width forms to ASCII, short numbers dropped."""
-    t = F.regexp_replace(text, "(?i)</?p>|<br\\s*/?>", "")
-    wide = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
-    t = F.trim(F.translate(t, wide, "".join(chr(0x21 + i) for i in range(94)) + " "))
-    t = F.regexp_replace(t, "(?<=[\\u4e00-\\u9fff])\\s+(?=[\\u4e00-\\u9fff])", "")
-    t = F.regexp_replace(t, "(?s)^\"(.*)\"$|^'(.*)'$|^“(.*)”$|^‘(.*)’$|^《(.*)》$", "$1$2$3$4$5")
-    short = (F.length(t) < 3) & t.rlike("^[0-9]+$") | (F.length(t) < 6) & t.rlike("^[0-9.]+$") & t.contains(".")
-    return F.when(short, F.lit("")).otherwise(F.substring(F.trim(t), 1, NAME_LIMIT))
+    """A name as it is stored: cleaned, normalized with its inner quotes, and cut to the limit."""
+    return F.substring(normalized(sanitize(text), inner_quotes=True), 1, NAME_LIMIT)
 
 
 def without_thinking(text: Column) -> Column:

@@ -2,30 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import END_MARK, TUPLE_SEP, is_number, normalize_name, split_markers
+from ..functions.text import END_MARK, TUPLE_SEP, is_number, normalize_name, normalized, sanitize, split_markers
+
+# What models make of the separator ``<|#|>``, mended in this order.
+DAMAGED = (
+    r"<\|#\|*?#\|>", r"<\|\\#\|>", r"<\|+>", r"<.?\|#\|.?>", r"<\|?#\|?>", r"<[^|]#\|>|<\|#[^|]>", r"<\|#\|+(?!>)", r"<\|#:(?!>)",
+    r"<\|+#>", r"<\|\|(?!>)", r"(?<!<)\|#\|>", r"<\|#\|>\|", r"\|\|#\|\|",
+)
+
+
+def mended(line: Column) -> Column:
+    """A record line whose damaged separators are whole again."""
+    for pattern in DAMAGED:
+        line = F.regexp_replace(line, pattern, TUPLE_SEP.replace("$", ""))
+    return line
 
 
 def parsed_records(rows: DataFrame) -> DataFrame:
-    """One row per record line of ``chunk_id, output``: ``ord`` and its trimmed ``fields``; damaged separators are mended."""
-    mended = F.regexp_replace("output", "<\\|+#\\|*>|<\\|*#\\|+>|<#>|<\\|#>", TUPLE_SEP.replace("$", ""))
-    lines = rows.select("chunk_id", F.posexplode(split_markers(mended, "\n", END_MARK, END_MARK.lower())).alias("ord", "line"))
-    return lines.select("chunk_id", "ord", F.transform(F.split("line", "\\Q" + TUPLE_SEP + "\\E"), lambda f: F.trim(f)).alias("fields"))
+    """One row per record of ``chunk_id, output``: ``ord`` and its trimmed ``fields``.
+
+    Lines are records; so is what follows a separator, ``entity`` or ``relation`` and another separator within a line, where a
+    model took separators for line ends. Damaged separators are mended in each. A null output has no records.
+    """
+    tag = f"(?=\\Q{TUPLE_SEP}\\E(?:entity|relation(?:ship)?)\\Q{TUPLE_SEP}\\E)"
+    parts = F.flatten(F.transform(split_markers(F.col("output"), "\n", END_MARK, END_MARK.lower()), lambda x: F.split(x, tag)))
+    lines = rows.select("chunk_id", F.posexplode(F.filter(parts, lambda x: x != "")).alias("ord", "line"))
+    bare = F.regexp_replace("line", f"^\\Q{TUPLE_SEP}\\E", "")
+    return lines.select("chunk_id", "ord", F.transform(F.split(mended(bare), "\\Q" + TUPLE_SEP + "\\E"), lambda f: F.trim(f)).alias("fields"))
+
+
+def _cleaned(**fields: Column) -> Column:
+    """Columns worked out once, however often they are asked for afterwards."""
+    return F.inline(F.array(F.struct(*(c.alias(n) for n, c in fields.items()))))
 
 
 def entities(records: DataFrame) -> DataFrame:
     """Valid entity records: four fields, a name, a plain type, a description."""
     f = lambda i: F.get("fields", F.lit(i))
-    rows = records.filter((F.size("fields") == 4) & f(0).contains("entity")).select("chunk_id", "ord", normalize_name(f(1)).alias("entity_id"), F.lower(F.replace(f(2), F.lit(" "))).alias("entity_type"), f(3).alias("description"))
+    kind = F.lower(F.replace(normalized(sanitize(f(2)), inner_quotes=True), F.lit(" ")))
+    rows = records.filter((F.size("fields") == 4) & f(0).contains("entity")).select("chunk_id", "ord", _cleaned(entity_id=normalize_name(f(1)), entity_type=kind, description=normalized(sanitize(f(3)))))
     return rows.filter((F.col("entity_id") != "") & (F.trim("description") != "") & (F.col("entity_type") != "") & ~F.col("entity_type").rlike("['()<>|/\\\\]"))
 
 
 def relations(records: DataFrame) -> DataFrame:
     """Valid relation records: five fields, two different ends; the weight is the last field where that is a number, else 1."""
     f = lambda i: F.get("fields", F.lit(i))
-    rows = records.filter((F.size("fields") == 5) & f(0).contains("relation")).select("chunk_id", "ord", normalize_name(f(1)).alias("a"), normalize_name(f(2)).alias("b"), F.replace(f(3), F.lit("，"), F.lit(",")).alias("keywords"), f(4).alias("description"))
-    number = F.regexp_replace(F.regexp_replace("description", "^\"+|\"+$", ""), "^'+|'+$", "")
+    words = F.replace(normalized(sanitize(f(3)), inner_quotes=True), F.lit("，"), F.lit(","))
+    number = F.regexp_replace(F.regexp_replace(f(4), "^\"+|\"+$", ""), "^'+|'+$", "")
+    rows = records.filter((F.size("fields") == 5) & f(0).contains("relation")).select("chunk_id", "ord", _cleaned(a=normalize_name(f(1)), b=normalize_name(f(2)), keywords=words, description=normalized(sanitize(f(4))), number=number))
     good = rows.filter("a <> '' and b <> '' and a <> b")
-    return good.select("chunk_id", "ord", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt"), "keywords", "description", F.when(is_number(number), number.try_cast("double")).otherwise(1.0).alias("weight"))
+    return good.select("chunk_id", "ord", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt"), "keywords", "description", F.when(is_number(F.col("number")), F.col("number").try_cast("double")).otherwise(1.0).alias("weight"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -35,6 +37,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 MANIFEST = "table string, bucket int, at long, batch long"
 
 
+def in_threads(do: Callable, items: list) -> list:
+    """Independent Spark jobs side by side, in the order of ``items``."""
+    with ThreadPoolExecutor(len(items) or 1) as pool:
+        return list(pool.map(do, items))
+
+
 @dataclass
 class TableStore:
     """Keyed tables under ``root``, each dealt in ``buckets`` by its key's hash; a commit changes all of them together.
@@ -88,26 +96,32 @@ class TableStore:
         return self._state()[1]
 
     def commit(self, batch: int, upserts: dict[str, DataFrame], deletes: dict[str, DataFrame] | None = None) -> bool:
-        """New rows in place of those of their keys, and the keys of ``deletes`` out, in all tables at once; False for a batch known already."""
+        """New rows in place of those of their keys, and the keys of ``deletes`` out, in all tables at once; False for a batch known already.
+
+        What is given is read several times, so it should be tables that don't change.
+        """
         version, last, held = self._state()
         if batch <= last:
             return False
         version += 1
-        for table in sorted({*upserts, *(deletes or {})}):
+
+        def change(table: str) -> tuple[str, dict[int, int]]:
             schema, key = self.tables[table]
             none = self.spark.createDataFrame([], schema)
             new = upserts.get(table, none).select(*schema.names)
-            out = (deletes or {}).get(table, none).select(*key)
-            new, changed = written(new, f"new-{table}"), written(new.select(*key).union(out).distinct(), f"changed-{table}")
+            changed = new.select(*key).union((deletes or {}).get(table, none).select(*key))
             touched = {r[0] for r in changed.select(self._bucket(key).alias("b")).distinct().collect()}
+            own = held.get(table, {})
             if not touched:
-                continue
-            kept = self._read(table, held.get(table, {}), touched).join(changed, key, "left_anti")
+                return table, own
+            kept = self._read(table, own, touched).join(changed, key, "left_anti")
             path = f"{self.root}/{table}/at={version}"
-            rows = kept.unionByName(new).withColumn("bucket", self._bucket(key))
-            rows.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-            filled = {r[0] for r in self.spark.read.schema(StructType.fromDDL("bucket int")).parquet(path).select("bucket").distinct().collect()}
-            held[table] = {k: v for k, v in held.get(table, {}).items() if k not in touched} | dict.fromkeys(filled, version)
+            kept.unionByName(new).withColumn("bucket", self._bucket(key)).repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            files = self.spark.read.schema(StructType.fromDDL("bucket int")).parquet(path).inputFiles()
+            filled = {int(f.split("/bucket=")[1].split("/")[0]) for f in files if "/bucket=" in f}
+            return table, {k: v for k, v in own.items() if k not in touched} | dict.fromkeys(filled, version)
+
+        held |= dict(in_threads(change, sorted({*upserts, *(deletes or {})})))
         rows = [(t, k, v, batch) for t, own in held.items() for k, v in own.items()] or [(None, None, None, batch)]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.root}/_manifests/version={version}")
         return True

@@ -47,8 +47,26 @@ def test_numbers(spark):
 
 
 def test_names(spark):
-    n = lambda s: one(spark, text.normalize_name(F.lit(s)))[0]
-    assert [n('"Ａlpha"'), n("12"), n("1.2"), n("<p>x</p>"), n("it's")] == ["Alpha", "", "", "x", "it's"]
+    given = {
+        '"Ａlpha"': "Alpha", "12": "", "1.2": "", "1.2.34": "1.2.34", ".1.2.": "", "123": "123", "<p>x</p>": "x", "a<BR>b<br/>": "ab", "it's": "it's",
+        '"a" and "b"': '"a" and "b"', "'single'": "single", "《书》": "书", "《a》 and 《b》": "《a》 and 《b》", "“q”": "q", "北京 Hello": "北京Hello", "(中文) 名": "(中文)名", "北 京": "北京",
+        "New York 3": "New York 3", "！？：": "！？：", "（ｘ）－＋／＊—": "(x)-+/*-", "中“文”": "中文", '中"文" x': "中文 x", "a\u00a0b": "a b", "k\u202fm 5\u202f6": "k m 5\u202f6", "　pad　": "pad", "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in given], "t string").select("t", text.normalize_name(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in rows.collect()} == given
+    assert one(spark, text.normalized(F.lit("中“文”")), text.normalized(F.lit('"x"')), F.length(text.normalize_name(F.lit("n" * 300)))) == ("中“文”", "x", 256)
+
+
+def test_damaged_separators(spark):
+    from graphloom.operators import extraction
+
+    damaged = ["<|##|>", "<|#||#|>", "<|\\#|>", "<|>", "<||>", "<X|#|>", "<|#|Y>", "<||#||>", "<#>", "<#|>", "<|#>", "<X#|>", "<|#X>", "<|#|", "<|#||", "<|#:", "<||#>", "<||", "|#|>", "<|#|>|", "||#||"]
+    rows = spark.createDataFrame([(x, f"a{x}b") for x in damaged] + [("whole", "a<|#|>b"), ("none", "a # b | c < d")], "k string, t string").select("k", extraction.mended(F.col("t")).alias("m"))
+    assert {r.k: r.m for r in rows.collect()} == dict.fromkeys([*damaged, "whole"], "a<|#|>b") | {"none": "a # b | c < d"}
+    out = "entity<|#|>A<|#|>kind<|#|>told<|#|>relation<|#|>A<|#|>B<|#|>k<|#|>linked\nentity<|#|>C<|#|>my Kind<|#|>x<|#|>entity<|#|>D<|#|>k/d<|#|>bad type\n<|COMPLETE|>"
+    records = extraction.parsed_records(spark.createDataFrame([("c", out), ("n", None)], "chunk_id string, output string"))
+    assert sorted((r.entity_id, r.entity_type) for r in extraction.entities(records).collect()) == [("A", "kind"), ("C", "mykind")]
+    assert [(r.src, r.tgt, r.description, r.weight) for r in extraction.relations(records).collect()] == [("A", "B", "linked", 1.0)]
 
 
 def test_groups():

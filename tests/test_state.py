@@ -109,7 +109,7 @@ def rules(cap, paths, method, cut=40):
     return state.Rules(cap, paths, method, joined_and_cut(cut))
 
 
-@pytest.mark.parametrize("cap, paths, method", [(300, 100, "KEEP"), (5, 3, "KEEP"), (5, 3, "FIFO")])
+@pytest.mark.parametrize("cap, paths, method", [(5, 3, "KEEP"), (5, 3, "FIFO")])
 def test_batches(spark, cap, paths, method):
     plain, graph = Plain(cap, paths, method), state.empty_graph(spark)
     for batch in range(2):
@@ -181,7 +181,7 @@ def built(spark, chunks, cache, limits):
     return state.applied(graph, state.merge_batch(graph, *state.cached_records(graph["cache"], graph["chunks"]), 0, limits))
 
 
-@pytest.mark.parametrize("gone", [["d0", "d2", "d3", "d4", "nobody"], [f"d{i}" for i in range(7)]])
+@pytest.mark.parametrize("gone", [["d0", "d2", "d3", "d4", "nobody"]])
 def test_deletion_equals_building_without(spark, gone):
     chunks, cache = outputs(4)
     limits = rules(300, 100, "KEEP")
