@@ -99,3 +99,10 @@ def exported(edges: DataFrame) -> DataFrame:
 
 def first_seen(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def nodes_of_chunks(nodes: DataFrame, tracking: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Nodes with a source (``tracking(entity_id, source_id)``) among ``chunks(chunk_id)``, and how many they have there."""
+    wanted = chunks.select(F.col("chunk_id").alias("source_id")).distinct()
+    met = tracking.join(wanted, "source_id", "left_semi").groupBy("entity_id").agg(F.count_distinct("source_id").alias("chunks"))
+    return nodes.join(met, "entity_id")

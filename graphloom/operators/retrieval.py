@@ -51,10 +51,16 @@ def interleaved(lists: list[DataFrame], key: list[str], columns: list[str]) -> D
 
 
 def within_budget(rows: DataFrame, tokens: Column, budget: int, order: str = "ord") -> DataFrame:
-    """The longest beginning whose tokens (at least one a row) sum to at most the budget, which bounds its rows too."""
-    rows = rows.orderBy(order).limit(budget)
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("used", F.sum(tokens).over(upto)).filter(F.col("used") <= budget)
+    """The longest beginning whose tokens sum to at most the budget, with the sum so far as ``used``; ``order`` is distinct.
+
+    Rows without tokens (null counts as none) belong to it as long as nothing before them is over. At most ``budget`` + 1 of the others
+    say where it ends; only what is before that is put in order in one task.
+    """
+    rows, upto = rows.withColumn("_tokens", F.coalesce(tokens, F.lit(0))), Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heavy = rows.filter("_tokens > 0").select(order, "_tokens").orderBy(order).limit(max(0, budget) + 1)
+    end = heavy.withColumn("used", F.sum("_tokens").over(upto)).filter(F.col("used") > budget).agg(F.min(order).alias("_end"))
+    kept = rows.crossJoin(F.broadcast(end)).filter(F.col("_end").isNull() | (F.col(order) < F.col("_end")))
+    return (kept if budget >= 0 else kept.limit(0)).withColumn("used", F.sum("_tokens").over(upto)).drop("_tokens", "_end")
 
 
 def related_chunks(owners: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ def answer_score(answer: Column, pred: Column, kind: Column) -> Column:
     """0 to 1 for a given answer, by its format; ``answer`` and ``pred`` are arrays, of one item but for lists.
 
     Int: equal as whole numbers. Float: ``float_equal``. Str and None: the cleaned texts' ANLS, or equality where the
-    answer is of a class that needs it. List: 0 for other lengths; cleaned and sorted items are equal where the first is a
+    answer is of a class that needs it. List: 0 for other lengths, 1 for two empty ones; cleaned and sorted items are equal where the first is a
     number or needs it, else the worst ANLS counts.
     """
     a, p = F.get(answer, F.lit(0)), F.get(pred, F.lit(0))
@@ -26,7 +26,7 @@ def answer_score(answer: Column, pred: Column, kind: Column) -> Column:
         first = F.get(v["x"], F.lit(0))
         exact = first.try_cast("double").isNotNull() | needs_exact_match(first)
         worst = F.array_min(F.zip_with(v["x"], v["y"], anls))
-        return F.when(F.size(v["x"]) != F.size(v["y"]), 0.0).when(exact, (v["x"] == v["y"]).cast("double")).otherwise(worst)
+        return F.when(F.size(v["x"]) != F.size(v["y"]), 0.0).when(F.size(v["x"]) == 0, 1.0).when(exact, (v["x"] == v["y"]).cast("double")).otherwise(worst)
 
     lists = bound(F.struct(*(F.array_sort(F.transform(c, clean_answer)).alias(n) for c, n in ((answer, "x"), (pred, "y")))), by_item)
     return F.when(kind == "Int", whole).when(kind == "Float", floats).when(kind.isin("Str", "None"), text).otherwise(lists)

@@ -265,10 +265,16 @@ def export_relations(spark, d):
     return graph.exported(tables.edges(spark, d))
 
 
-@query("SELECT 's' || l_suppkey AS entity_id, count(DISTINCT l_orderkey) AS chunks FROM lineitem GROUP BY 1")
+@query(f"""WITH {NODES}, t AS (SELECT 's' || l_suppkey AS entity_id, l_orderkey FROM lineitem UNION ALL SELECT 'p' || l_partkey, l_orderkey FROM lineitem),
+ w AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND o_totalprice > (SELECT avg(o_totalprice) FROM orders))
+SELECT v.*, n AS chunks FROM v JOIN (SELECT entity_id, count(DISTINCT l_orderkey) AS n FROM t WHERE l_orderkey IN (SELECT o_orderkey FROM w) GROUP BY 1) USING (entity_id)""")
 def nodes_by_chunk(spark, d):
-    r = tables.relations(spark, d)
-    return r.groupBy(F.col("tgt").alias("entity_id")).agg(F.count_distinct("source_id").alias("chunks"))
+    """Entities of the dear orders of the first priority; the order is the chunk."""
+    o, r = read(spark, d, "orders"), tables.relations(spark, d)
+    bounds = o.agg(F.min("o_orderpriority").alias("least"), F.avg("o_totalprice").alias("mean"))
+    chunks = o.crossJoin(F.broadcast(bounds)).filter("o_orderpriority = least and o_totalprice > mean").select(F.concat(F.lit("c"), "o_orderkey").alias("chunk_id"))
+    tracking = r.select(F.explode(F.array("src", "tgt")).alias("entity_id"), "source_id")
+    return graph.nodes_of_chunks(tables.nodes(spark, d), tracking, chunks)
 
 
 @query()
