@@ -190,8 +190,8 @@ def distance_tables(hist: list[list[np.ndarray]], radius: int) -> list[list[np.n
     return out
 
 
-def allocate(values: list[np.ndarray], tables: list[list[np.ndarray]], widths: list[int], n: int, radius: int, check_cost: float) -> np.ndarray:
-    """Thresholds (rows x partitions, -1: not probed), by dynamic programming on the estimated cost of each choice."""
+def allocate(values: list[np.ndarray], tables: list[list[np.ndarray]], widths: list[int], n: int, radius: int, check_cost: float) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds (rows x partitions, -1: not probed), by dynamic programming on the estimated cost of each choice, and these costs."""
     rows, m = len(values[0]), len(widths)
     cost = np.zeros((m, radius + 2, rows))
     for i, (x, blocks) in enumerate(zip(values, tables, strict=True)):
@@ -222,7 +222,7 @@ def allocate(values: list[np.ndarray], tables: list[list[np.ndarray]], widths: l
         t = choice[i, left, np.arange(rows)]
         out[:, i] = t - 1
         left = left - t
-    return out
+    return out, best[need]
 
 
 _FLIPS: dict[tuple[int, int], np.ndarray] = {}
@@ -246,7 +246,12 @@ class Index:
     def allowed(self, values: np.ndarray, radius: int, check_cost: float) -> tuple[list[np.ndarray], np.ndarray]:
         """The values' partitions, and the threshold of each."""
         parts = [project(values, bits) for bits in self.groups]
-        return parts, allocate(parts, self.tables, [len(g) for g in self.groups], self.n_rows, radius, check_cost)
+        return parts, allocate(parts, self.tables, [len(g) for g in self.groups], self.n_rows, radius, check_cost)[0]
+
+    def cost(self, values: np.ndarray, radius: int, check_cost: float) -> float:
+        """Probes and candidates, weighed, that a fingerprint is estimated to need."""
+        parts = [project(values, bits) for bits in self.groups]
+        return float(allocate(parts, self.tables, [len(g) for g in self.groups], self.n_rows, radius, check_cost)[1].mean())
 
 
 def plan_index(rows: DataFrame, radius: int, partitions: int, width: int | None = None, families: int = 1) -> list[Index]:
@@ -257,24 +262,43 @@ def plan_index(rows: DataFrame, radius: int, partitions: int, width: int | None
     return [Index(n_rows, g, distance_tables(h, radius)) for g, h in zip(groups, histograms(rows, groups), strict=True)]
 
 
+def plan_cheapest(rows: DataFrame, radius: int, check_cost: float, sample: int = 4096) -> Index:
+    """The index whose number of partitions costs least for a table of this size.
+
+    Fewer partitions are wider: their buckets are emptier, but thresholds higher and probes many. With one more than
+    the radius all thresholds would be 0 and buckets as narrow as they get, which only suits small tables, so at most
+    ``radius`` are tried (two at least where the radius allows). Statistics are those of all
+    rows, the same two passes for every choice; costs are estimated for up to ``sample`` fingerprints chosen by hash.
+    """
+    n_rows, value = rows.count(), F.get("fps", F.lit(0))
+    choices = list(range(min(2, radius + 1), min(max(2, radius), radius + 1, 15) + 1))
+    few = rows.coalesce(-(-n_rows // 50_000) or 1).select(F.array_repeat(value, len(choices)).alias("fps"))
+    [together] = bit_counts(few, 1)
+    groups = [group_bits(together, n_rows, m) for m in choices]
+    indexes = [Index(n_rows, g, distance_tables(h, radius)) for g, h in zip(groups, histograms(few, groups), strict=True)]
+    share = min(1 << 20, (sample << 21) // max(1, n_rows))
+    some = rows.select(value.alias("fp")).filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).orderBy("fp").limit(sample).toArrow()["fp"].to_numpy()
+    return min(indexes, key=lambda x: x.cost(some, radius, check_cost)) if len(some) else indexes[0]
+
+
 def bucket_keys(part: int, v: np.ndarray) -> np.ndarray:
     """The partition's value, mixed with its number."""
     return _again(v ^ (np.uint64(part + 1) << np.uint64(40)), 1).view(np.int64)
 
 
-def hamming_links(rows: DataFrame, radius: int = 3, partitions: int = 2, check_cost: float = 0.02) -> DataFrame:
+def hamming_links(rows: DataFrame, radius: int = 3, partitions: int | None = None, check_cost: float = 0.02) -> DataFrame:
     """Every pair of ids ``a < b`` whose fingerprints differ in at most ``radius`` bits, once.
 
     ``rows`` has ``id`` (each once) and ``fps``, of which the first counts. A pair is found from its member
-    with the smaller id, whose probes cover everything within the radius. Two partitions of 32 bits
-    keep buckets near-empty up to billions of fingerprints at 66 probes each for radius 3; equal keys meet
+    with the smaller id, whose probes cover everything within the radius. The number of partitions is the cheapest
+    for the table's size unless it is given; equal keys meet
     in an equi-join, whose hot keys Spark splits at run time. A pair that several partitions match is listed
     by the first.
     """
-    if not 0 <= radius < 64 or not 1 <= partitions <= radius + 1:
+    if not 0 <= radius < 64 or not (partitions is None or 1 <= partitions <= radius + 1):
         raise ValueError("needs 0 <= radius < 64 and 1 <= partitions <= radius + 1")
-    [index] = plan_index(rows, radius, partitions)
-    groups = index.groups
+    index = plan_cheapest(rows, radius, check_cost) if partitions is None else plan_index(rows, radius, partitions)[0]
+    groups, partitions = index.groups, len(index.groups)
     widths = [len(g) for g in groups]
     masks = [sum(1 << b for b in g) for g in groups]
 
@@ -510,11 +534,11 @@ def similar_links(docs: DataFrame, classes: DataFrame, index: list[Index], size:
     return found.union(written(block_links(blocks.union(dealt(apart)), sets, similarity), "block-links"))
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, similarity: float | None = 0.8, recall: float = 0.997, radius: int = 3, partitions: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, seed: int = 42, similarity: float | None = 0.8, recall: float = 0.997, radius: int = 3, partitions: int | None = None) -> DataFrame:
     """Rows ``doc_id, text_key, fp, component_id, keep`` for every document.
 
     With ``similarity=None`` texts link if their fingerprints differ in at most ``radius`` bits, and every such
-    link is found. With a ``similarity`` they link if their shingle sets have that Jaccard similarity: families
+    link is found, by as many ``partitions`` as are estimated to cost least if none are given. With a ``similarity`` they link if their shingle sets have that Jaccard similarity: families
     of fingerprints give candidates, as many as find a pair at exactly that similarity with probability
     ``recall``; each family's thresholds cover one bit less than it has partitions, whose width follows
     from the number of texts. Verification is exact, so nothing false links.
@@ -560,6 +584,7 @@ def keep_one_each(docs: DataFrame, **settings) -> DataFrame:
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Classes of all documents by fingerprints of three-word shingles within three bits; nulls, empties and repeats as ``near_duplicates`` says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = near_duplicates(docs, size=3, seed=42, radius=3, partitions=2, similarity=None)
+    found = near_duplicates(docs, size=3, seed=42, radius=3, similarity=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

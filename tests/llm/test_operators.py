@@ -99,7 +99,21 @@ def test_near_duplicates(docs, empty, similarity):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("radius", "partitions"), [(3, 2), (3, 4), (6, 3), (9, 5)])
+def test_thresholds_are_dealt_by_cost(spark):
+    """Partitions follow from the table's size, and thresholds from each fingerprint's estimated candidates."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select(simhash.simhash(F.col("text"), 3).alias("s")).select("s.fps").distinct()
+    index = simhash.plan_cheapest(rows, 3, 0.02)
+    values = np.array([r.fps[0] for r in rows.collect()])
+    _, dealt = index.allowed(values, 3, 0.02)
+    assert len(index.groups) == 3 and len({tuple(x) for x in dealt.tolist()}) > 1 and ((dealt + 1).sum(1) == 4).all()
+    probes = sum(len(simhash.flips(len(g), e)) for g, e in zip(index.groups, dealt[0].tolist(), strict=True) if e >= 0)
+    assert probes < 30
+    huge = [simhash.Index(10**12, g.groups, g.tables).cost(values, 3, 0.02) for g in (simhash.plan_index(rows, 3, m)[0] for m in (2, 3, 4))]
+    assert min(huge) == huge[0]
+
+
+@pytest.mark.parametrize(("radius", "partitions"), [(3, 2), (3, 4), (6, 3), (9, 5), (3, None), (0, None), (5, None)])
 def test_links_are_whole(spark, radius, partitions):
     r = random.Random(radius)
     centre = [r.getrandbits(64) for _ in range(8)]
