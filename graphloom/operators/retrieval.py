@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine, linear_quota
-from .graph import degrees, edge_degrees, first_seen, incident
+from .graph import first_seen, incident
 
 
 def vector_hits(vectors: DataFrame, query: list[float], k: int, threshold: float = 0.2, digits: int = 6) -> DataFrame:
@@ -17,9 +17,15 @@ def vector_hits(vectors: DataFrame, query: list[float], k: int, threshold: float
     return top.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("similarity"), "vec_id"))).drop("embedding")
 
 
+def _degrees_of(ends: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, degree`` of the nodes in ``ends(node)``: only their edges are counted."""
+    return incident(edges).join(ends.distinct(), "node", "left_semi").groupBy("node").agg(F.count("*").alias("degree"))
+
+
 def node_data(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Hits with their nodes and degree (rank), in the hits' order; hits without a node go."""
-    return hits.join(nodes, "entity_id").join(degrees(edges).withColumnRenamed("degree", "rank"), "entity_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    rank = _degrees_of(hits.select(F.col("entity_id").alias("node")), edges).withColumnsRenamed({"node": "entity_id", "degree": "rank"})
+    return hits.join(nodes, "entity_id").join(rank, "entity_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 
 def related_edges(seeds: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
@@ -27,8 +33,12 @@ def related_edges(seeds: DataFrame, edges: DataFrame, limit: int | None = None)
 
     With ``limit`` only the first are kept, so that the edges of a hub aren't numbered all in one task.
     """
-    hit = incident(edges_with_rank := edge_degrees(edges)).join(seeds, F.col("node") == F.col("entity_id"))
-    once = first_seen(hit, ["src", "tgt"], ["ord", "src", "tgt"]).select(*edges_with_rank.columns, F.col("ord").alias("seed_ord"))
+    hit = incident(edges).join(seeds.select(F.col("entity_id").alias("node"), "ord"), "node")
+    once = first_seen(hit, ["src", "tgt"], ["ord", "src", "tgt"]).select(*edges.columns, F.col("ord").alias("seed_ord"))
+    degree = _degrees_of(once.select(F.explode(F.array("src", "tgt")).alias("node")), edges)
+    for side in ("src", "tgt"):
+        once = once.join(degree.withColumnsRenamed({"node": side, "degree": f"_{side}"}), side)
+    once = once.select(*edges.columns, (F.col("_src") + F.col("_tgt")).alias("rank"), "seed_ord")
     order = [F.desc("rank"), F.desc("weight"), "seed_ord", "src", "tgt"]
     once = once if limit is None else once.orderBy(*order).limit(limit)
     return once.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
