@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def incident(edges: DataFrame) -> DataFrame:
     """Each edge once from either end: ``node, other`` and the edge's columns."""
@@ -106,3 +108,38 @@ def nodes_of_chunks(nodes: DataFrame, tracking: DataFrame, chunks: DataFrame) ->
     wanted = chunks.select(F.col("chunk_id").alias("source_id")).distinct()
     met = tracking.join(wanted, "source_id", "left_semi").groupBy("entity_id").agg(F.count_distinct("source_id").alias("chunks"))
     return nodes.join(met, "entity_id")
+
+
+def neighbourhoods(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 3, max_nodes: int = 1000) -> DataFrame:
+    """``start, entity_id, depth, place, is_truncated``: for each of ``starts(entity_id)`` the nodes within ``depth`` steps, at most ``max_nodes``.
+
+    Nearer nodes come first, in a level those of higher degree, then by name. ``is_truncated`` says that more would have been
+    within reach. A level is a written table; a start that is cut goes no further, and all end when none has a frontier.
+    Starts that aren't nodes have no rows, repeated ones count once.
+    """
+    steps = written(incident(edges).select("node", "other"), "steps")
+    first = starts.select("entity_id").distinct().join(nodes.select("entity_id"), "entity_id", "left_semi")
+    seen = frontier = written(first.select(F.col("entity_id").alias("start"), "entity_id", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("place")), "level-0")
+    cut = seen.select("start").limit(0)
+    for level in range(1, depth + 1):
+        reached = frontier.join(steps, F.col("entity_id") == F.col("node")).select("start", F.col("other").alias("entity_id")).distinct().join(seen, ["start", "entity_id"], "left_anti")
+        reached = written(reached, "reached")
+        degree = steps.join(reached.select(F.col("entity_id").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("entity_id")).agg(F.count("*").alias("degree"))
+        nth = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("degree"), "entity_id"))
+        best = reached.join(degree, "entity_id").withColumn("nth", nth).filter(F.col("nth") <= max_nodes)
+        held = seen.groupBy("start").agg(F.count("*").alias("held"))
+        ranked = written(best.join(held, "start").select("start", "entity_id", F.lit(level).alias("depth"), (F.col("held") + F.col("nth")).alias("place")), f"level-{level}")
+        over = written(ranked.filter(F.col("place") > max_nodes).select("start").distinct(), "cut")
+        cut = cut.union(over)
+        level_rows = ranked.filter(F.col("place") <= max_nodes)
+        seen, frontier = seen.unionByName(level_rows), level_rows.join(over, "start", "left_anti")
+        if frontier.isEmpty():
+            break
+    return seen.join(cut.withColumn("is_truncated", F.lit(True)), "start", "left").withColumn("is_truncated", F.coalesce("is_truncated", F.lit(False)))
+
+
+def induced(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """The edges of ``neighbourhoods``' rows: those with both ends in the same start's."""
+    ends = reached.select("start", "entity_id")
+    one = edges.join(ends.withColumnRenamed("entity_id", "src"), "src")
+    return one.join(ends.withColumnRenamed("entity_id", "tgt"), ["start", "tgt"], "left_semi").select("start", *edges.columns)
