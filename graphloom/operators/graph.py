@@ -138,7 +138,7 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth:
     return seen.join(cut.withColumn("is_truncated", F.lit(True)), "start", "left").withColumn("is_truncated", F.coalesce("is_truncated", F.lit(False)))
 
 
-def induced(edges: DataFrame, reached: DataFrame) -> DataFrame:
+def induced_by_start(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """The edges of ``neighbourhoods``' rows: those with both ends in the same start's."""
     ends = reached.select("start", "entity_id")
     one = edges.join(ends.withColumnRenamed("entity_id", "src"), "src")

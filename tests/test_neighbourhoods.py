@@ -29,4 +29,4 @@ def test_neighbourhoods(spark):
         rows = got.select("start", "entity_id", "depth", "place", "is_truncated").collect()
         assert {tuple(x) for x in rows} == want and len(rows) == len(want)
         inside = {(s, a, b) for s in set(starts) for a, b in pairs if {(s, a), (s, b)} <= {(x[0], x[1]) for x in want}}
-        assert {(x.start, x.src, x.tgt) for x in graph.induced(edges, got).collect()} == inside
+        assert {(x.start, x.src, x.tgt) for x in graph.induced_by_start(edges, got).collect()} == inside
