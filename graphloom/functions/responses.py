@@ -13,12 +13,20 @@ DESCRIPTION, INFO, FIELDS = "detailed_description", "entity_info", ("entity_name
 NO_NAME, NO_TYPE, SUMMARY_LENGTH = "unknown_entity", "unknown", 100
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def balanced(text: Column) -> Column:
     """Outermost runs from ``{`` to its ``}``, in order. Braces inside strings count too.
 
     The fold holds places of pieces, not their text, so long objects with many braces cost no more than their length.
     """
-    pieces = F.split(text, r"(?<=[{}])", -1)
+    return _let(F.split(text, r"(?<=[{}])", -1), _runs)
+
+
+def _runs(pieces: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("opened"), F.array().cast("array<struct<a:int,b:int>>").alias("found"))
 
     def step(s: Column, piece: Column) -> Column:
@@ -54,8 +62,7 @@ def with_escaped_backslashes(text: Column) -> Column:
 def _parsed(candidate: Column) -> Column:
     """The object if the candidate is one and nothing else; brackets around it make what follows an object an error."""
     whole = F.try_parse_json(F.concat(F.lit("["), candidate, F.lit("]")))
-    alone = F.try_variant_get(whole, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(whole, "$[0]", "variant"))
+    return _let(whole, lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
 
 
 def first_object(text: Column) -> Column:
@@ -63,13 +70,12 @@ def first_object(text: Column) -> Column:
 
     Null where none does. A key that comes twice makes a candidate unreadable.
     """
-    found = candidates(text)
 
-    def first(repair) -> Column:
+    def first(found: Column, repair) -> Column:
         objects = F.filter(F.transform(found, lambda c: _parsed(repair(c))), lambda v: v.isNotNull() & (F.to_json(v) != "{}"))
         return F.get(objects, F.lit(0))
 
-    return F.coalesce(first(lambda c: c), first(without_trailing_commas), first(with_escaped_backslashes))
+    return _let(candidates(text), lambda found: F.coalesce(first(found, lambda c: c), first(found, without_trailing_commas), first(found, with_escaped_backslashes)))
 
 
 def described(response: Column, kind: Column, name: Column | None = None) -> Column:
@@ -82,7 +88,10 @@ def described(response: Column, kind: Column, name: Column | None = None) -> Col
     """
     response = F.coalesce(response, F.lit(""))
     given = F.lit(None).cast("string") if name is None else F.nullif(name, F.lit(""))
-    found = first_object(response)
+    return _let(first_object(response), lambda found: _entity(found, response, kind, given))
+
+
+def _entity(found: Column, response: Column, kind: Column, given: Column) -> Column:
     of = lambda path: F.try_variant_get(found, path, "string")
     field = lambda n: F.nullif(F.regexp_extract(response, rf'"{n}":\s*"([^"]*)"', 0), F.lit(""))
     value = lambda n: F.when(field(n).isNotNull(), F.regexp_extract(response, rf'"{n}":\s*"([^"]*)"', 1))
