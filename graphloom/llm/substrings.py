@@ -20,7 +20,8 @@ from .common import maybe_present, presence, text_key, written
 WINDOW = 16  # bytes that a cut depends on
 GEAR = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 16, 256, dtype=np.uint16)
 PRESENT = 26  # log2 of the bits that say which digests occur twice
-UNIT = "doc_id long, text_key long, digest long, start long, len long"
+UNIT = "doc_id long, text_key long, digest long, digest2 long, start long, len long"
+DIGEST = ["digest", "digest2"]
 
 
 def gear_hashes(data: np.ndarray, gear: np.ndarray) -> np.ndarray:
@@ -53,10 +54,15 @@ def chunk_ends(text: bytes | np.ndarray, bits: int, longest: int) -> np.ndarray:
     return np.unique(ends)
 
 
+def unit_digests(parts: list[bytes]) -> np.ndarray:
+    """A row of two longs for each part: its 128-bit digest, by which alone units are equal."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in parts), ">i8").astype(np.int64).reshape(-1, 2)
+
+
 def units(docs: DataFrame, *, bits: int, longest: int, twice: np.ndarray | None = None) -> DataFrame:
-    """Rows ``doc_id, text_key, digest, start, len`` (bytes): every two neighbouring chunks, or a text's only one.
+    """Rows ``doc_id, text_key, digest, digest2, start, len`` (bytes): every two neighbouring chunks, or a text's only one.
 
-    ``len`` is negative for a text's last unit. With ``twice`` (``presence`` of digests) most units that occur once are left out.
+    ``len`` is negative for a text's last unit. With ``twice`` (``presence`` of their first halves) most units that occur once are left out.
     """
     held = None if twice is None else docs.sparkSession.sparkContext.broadcast(twice)
 
@@ -72,17 +78,18 @@ def units(docs: DataFrame, *, bits: int, longest: int, twice: np.ndarray | None
                         continue
                     edge = [0, *ends.tolist()]
                     a, z = (edge[:-2], edge[2:]) if len(edge) > 2 else (edge[:1], edge[1:])
-                    own = np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(a, z, strict=True)], np.uint64).view(np.int64)
+                    own = unit_digests([raw[s:e] for s, e in zip(a, z, strict=True)])
                     size = np.array(z, np.int64) - np.array(a, np.int64)
                     size[-1] = -size[-1]
-                    kept = np.arange(len(own)) if held is None else np.flatnonzero(maybe_present(held.value, own))
+                    kept = np.arange(len(own)) if held is None else np.flatnonzero(maybe_present(held.value, np.ascontiguousarray(own[:, 0])))
                     digests.append(own[kept])
                     starts.append(np.array(a, np.int64)[kept])
                     sizes.append(size[kept])
                     rows.append(np.full(len(kept), i))
                 if rows:
-                    pick = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(pick), some.column(1).take(pick), pa.array(np.concatenate(digests)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(sizes))], names=["doc_id", "text_key", "digest", "start", "len"])
+                    pick, both = pa.array(np.concatenate(rows)), np.concatenate(digests)
+                    columns = [some.column(0).take(pick), some.column(1).take(pick), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.concatenate(starts)), pa.array(np.concatenate(sizes))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", *DIGEST, "start", "len"])
 
     return docs.select(F.col("doc_id").cast("long"), text_key("text").alias("text_key"), "text").mapInArrow(cut, UNIT)
 
@@ -99,10 +106,10 @@ def repeated_spans(docs: DataFrame, *, min_bytes: int = 100, bits: int = 5, long
     """
     own = units(docs, bits=bits, longest=longest)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"), F.col("start"))
-    first = own.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("digest", "first")
+    first = own.groupBy(*DIGEST).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select(*DIGEST, "first")
     first = written(first, "firsts")
     own = units(docs, bits=bits, longest=longest, twice=presence(first, "digest", PRESENT))
-    again = own.join(first, "digest").filter(place > F.col("first")).select("doc_id", "text_key", "start", F.abs("len").alias("len"), (F.col("len") < 0).alias("ends"), F.col("first.doc_id").alias("first_doc_id"))
+    again = own.join(first, DIGEST).filter(place > F.col("first")).select("doc_id", "text_key", "start", F.abs("len").alias("len"), (F.col("len") < 0).alias("ends"), F.col("first.doc_id").alias("first_doc_id"))
     again = again.dropDuplicates(["doc_id", "text_key", "start"])
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("start")
     ends = F.max(F.col("start") + F.col("len")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))

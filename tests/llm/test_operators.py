@@ -483,6 +483,22 @@ def test_spans_by_brute_force(spark, docs):
     assert got == Counter(plain_spans(rows)) and (101, 0, 27, 1, 100) in got
 
 
+def test_units_with_one_equal_half(spark, docs, monkeypatch):
+    """Units whose digests agree in either half alone are different units."""
+    rows = {(r.doc_id, r.k, r.text) for r in docs.select("doc_id", substrings.text_key("text").alias("k"), "text").collect()}
+    whole = substrings.unit_digests
+    for halves in ([0], [1], [0, 1]):
+
+        def digests(parts, halves=halves, whole=whole):
+            found = whole(parts)
+            found[:, halves] = 7
+            return found
+
+        monkeypatch.setattr(substrings, "unit_digests", digests)
+        got = Counter((r.doc_id, r.start, r.len, r.units, r.first_doc_id) for r in substrings.repeated_spans(docs).collect())
+        assert (got == Counter(plain_spans(rows))) == (len(halves) == 1)
+
+
 def test_chunks_resist_shifts():
     r = random.Random(2)
     text = " ".join(r.choices(WORDS, k=3000)).encode()
