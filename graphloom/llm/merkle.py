@@ -172,9 +172,10 @@ def proofs(documents: DataFrame, now: Column) -> tuple[RDD, bytes] | None:
     nodes = lambda of: leaves.filter(of).rdd.map(lambda r: (r.tree, r.place, r.size, bytes(r.leaf), (r.doc_id, bytes(r.now))))
     levels, roots = climb(nodes("size > 1"), most, total, spark)
     subroots = sc.union([nodes("size = 1").map(lambda n: (n[0], (0, n[3], n[4]))), *roots])
-    subroots = _saved(subroots.sortByKey(numPartitions=_parts(sc, total)).coalesce(_parts(sc, total)), spark, "merkle-subroots")
+    # numbered before they are saved: saved files come back in any order
+    subroots = _saved(subroots.sortByKey(numPartitions=_parts(sc, total)).zipWithIndex(), spark, "merkle-subroots")
     trees = subroots.count()
-    tops = subroots.zipWithIndex().map(lambda x: (-1, x[1], trees, x[0][1][1], (x[0][0], *x[0][1])))
+    tops = subroots.map(lambda x: (-1, x[1], trees, x[0][1][1], (x[0][0], *x[0][1])))
     if trees > 1:
         upper, top = climb(tops, trees, trees, spark)
         root = top[-1].first()[1][1]

@@ -71,6 +71,12 @@ def test_manifest(spark, n, langs):
     assert results(merkle.verified_manifest(given_rows(spark, rows), merkle.tampered_text())) == plain(rows)
 
 
+def test_subroots_over_many_files(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "_parts", lambda sc, n: 9)
+    rows = [(i, f"Text {i}", f"l{i % 70}" if i % 7 else None, "a", i) for i in range(210)]
+    assert results(merkle.verified_manifest(given_rows(spark, rows), merkle.tampered_text())) == plain(rows)
+
+
 def test_untouched_and_empty(spark):
     rows = given_rows(spark, [(i, "Some Text", "en", "a", 9) for i in range(40)])
     assert all(r.verified for r in merkle.verified_manifest(rows).collect())
