@@ -30,3 +30,33 @@ def test_neighbourhoods(spark):
         assert {tuple(x) for x in rows} == want and len(rows) == len(want)
         inside = {(s, a, b) for s in set(starts) for a, b in pairs if {(s, a), (s, b)} <= {(x[0], x[1]) for x in want}}
         assert {(x.start, x.src, x.tgt) for x in graph.induced_by_start(edges, got).collect()} == inside
+
+
+def test_only_the_first_neighbours_are_followed(spark, monkeypatch):
+    """200 starts at 2 hubs of 400 nodes each: a level's rows follow ``max_nodes``, not the hubs' degrees; parallel edges take one place."""
+    sizes = {}
+    kept = graph.written
+
+    def counted(df, label):
+        out = kept(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    pairs = [(f"h{h}", f"s{i}") for h in (0, 1) for i in range(200)] + [(f"h{h}", f"t{h}{i}") for h in (0, 1) for i in range(400)]
+    pairs += [("h0", "t05")] * 3 + [("t00", "t01")]
+    adjacent, degree = {}, {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            adjacent.setdefault(x, set()).add(y)
+            degree[x] = degree.get(x, 0) + 1
+    nodes = spark.createDataFrame([(n,) for n in adjacent], "entity_id string")
+    starts = spark.createDataFrame([(f"s{i}",) for i in range(200)], "entity_id string")
+    got = graph.neighbourhoods(nodes, spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, tgt string, weight double"), starts, 2, 9).collect()
+    near = {n: sorted(adjacent[n], key=lambda y: (-degree[y], y)) for n in adjacent}
+    for s in (f"s{i}" for i in range(200)):
+        two = sorted((adjacent["h0"] | adjacent["h1"]) - {s, "h0", "h1"}, key=lambda y: (-degree[y], y))
+        want = [(s, 0), *((x, 1) for x in near[s]), *((x, 2) for x in two)][:9]
+        assert [(x.entity_id, x.depth) for x in sorted(got, key=lambda x: x.place) if x.start == s] == want
+    assert all(x.is_truncated for x in got)
+    assert max(n for label, n in sizes.items() if label != "steps") <= 10 * len(adjacent)
