@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import END_MARK, TUPLE_SEP, is_number, normalize_name, normalized, sanitize, split_markers
+from ..functions.text import END_MARK, TUPLE_SEP, cleaned, is_number, normalize_name, split_markers
 
 # What models make of the separator ``<|#|>``, mended in this order.
 DAMAGED = (
@@ -14,11 +14,20 @@ DAMAGED = (
 )
 
 
+#: What any of ``DAMAGED`` that changes a line takes, once whole separators are one character each.
+MARKS = "#|<\\||\\x01[|>]|<\\x01"
+
+
 def mended(line: Column) -> Column:
-    """A record line whose damaged separators are whole again."""
-    for pattern in DAMAGED:
-        line = F.regexp_replace(line, pattern, TUPLE_SEP.replace("$", ""))
-    return line
+    """A record line whose damaged separators are whole again; lines with whole ones alone are left as they are."""
+
+    def mend(x: Column) -> Column:
+        out = x
+        for pattern in DAMAGED:
+            out = F.regexp_replace(out, pattern, TUPLE_SEP.replace("$", ""))
+        return F.when(F.replace(x, F.lit(TUPLE_SEP), F.lit("\x01")).rlike(MARKS), out).otherwise(x)
+
+    return F.transform(F.array(line), mend)[0]  # the line is worked out once
 
 
 def parsed_records(rows: DataFrame) -> DataFrame:
@@ -31,7 +40,7 @@ def parsed_records(rows: DataFrame) -> DataFrame:
     parts = F.flatten(F.transform(split_markers(F.col("output"), "\n", END_MARK, END_MARK.lower()), lambda x: F.split(x, tag)))
     lines = rows.select("chunk_id", F.posexplode(F.filter(parts, lambda x: x != "")).alias("ord", "line"))
     bare = F.regexp_replace("line", f"^\\Q{TUPLE_SEP}\\E", "")
-    return lines.select("chunk_id", "ord", F.transform(F.split(mended(bare), "\\Q" + TUPLE_SEP + "\\E"), lambda f: F.trim(f)).alias("fields"))
+    return lines.select("chunk_id", "ord", _cleaned(fields=F.transform(F.split(mended(bare), "\\Q" + TUPLE_SEP + "\\E"), lambda f: F.trim(f))))
 
 
 def _cleaned(**fields: Column) -> Column:
@@ -42,16 +51,16 @@ def _cleaned(**fields: Column) -> Column:
 def entities(records: DataFrame) -> DataFrame:
     """Valid entity records: four fields, a name, a plain type, a description."""
     f = lambda i: F.get("fields", F.lit(i))
-    kind = F.lower(F.replace(normalized(sanitize(f(2)), inner_quotes=True), F.lit(" ")))
-    rows = records.filter((F.size("fields") == 4) & f(0).contains("entity")).select("chunk_id", "ord", _cleaned(entity_id=normalize_name(f(1)), entity_type=kind, description=normalized(sanitize(f(3)))))
+    kind = F.lower(F.replace(cleaned(f(2), inner_quotes=True), F.lit(" ")))
+    rows = records.filter((F.size("fields") == 4) & f(0).contains("entity")).select("chunk_id", "ord", _cleaned(entity_id=normalize_name(f(1)), entity_type=kind, description=cleaned(f(3))))
     return rows.filter((F.col("entity_id") != "") & (F.trim("description") != "") & (F.col("entity_type") != "") & ~F.col("entity_type").rlike("['()<>|/\\\\]"))
 
 
 def relations(records: DataFrame) -> DataFrame:
     """Valid relation records: five fields, two different ends; the weight is the last field where that is a number, else 1."""
     f = lambda i: F.get("fields", F.lit(i))
-    words = F.replace(normalized(sanitize(f(3)), inner_quotes=True), F.lit("，"), F.lit(","))
+    words = F.replace(cleaned(f(3), inner_quotes=True), F.lit("，"), F.lit(","))
     number = F.regexp_replace(F.regexp_replace(f(4), "^\"+|\"+$", ""), "^'+|'+$", "")
-    rows = records.filter((F.size("fields") == 5) & f(0).contains("relation")).select("chunk_id", "ord", _cleaned(a=normalize_name(f(1)), b=normalize_name(f(2)), keywords=words, description=normalized(sanitize(f(4))), number=number))
+    rows = records.filter((F.size("fields") == 5) & f(0).contains("relation")).select("chunk_id", "ord", _cleaned(a=normalize_name(f(1)), b=normalize_name(f(2)), keywords=words, description=cleaned(f(4)), number=number))
     good = rows.filter("a <> '' and b <> '' and a <> b")
     return good.select("chunk_id", "ord", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt"), "keywords", "description", F.when(is_number(F.col("number")), F.col("number").try_cast("double")).otherwise(1.0).alias("weight"))
