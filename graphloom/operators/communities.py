@@ -6,6 +6,8 @@ Weights that are null or not above zero take no part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..sources.shared import written
 
 #: Gains are compared to so many digits, so that the order of sums decides nothing.
 DIGITS = 9
+#: Rounds after which the turns of nodes come again.
+TURNS = 31
 
 
 def _whole(edges: DataFrame) -> DataFrame:
@@ -46,44 +50,69 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return modularity_parts(edges, labels).agg(F.sum("part")).first()[0] or 0.0
 
 
+def _steps(graph: DataFrame, names: DataFrame) -> DataFrame:
+    """``node, other, weight, turns``: each edge but self loops from either end, kept by ``other`` so that rounds don't deal it again."""
+    ends = F.array(F.struct(F.col("src").alias("node"), F.col("tgt").alias("other"), "weight"), F.struct(F.col("tgt").alias("node"), F.col("src").alias("other"), "weight"))
+    steps = graph.filter("src <> tgt").select(F.explode(ends).alias("s")).select("s.*")
+    turns = names.select(F.col("id").alias("node"), "turns").hint("shuffle_hash")
+    return steps.join(turns, "node").repartition(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), "other").persist()
+
+
 def _moves(steps: DataFrame, state: DataFrame, every: float, turn: int, resolution: float) -> DataFrame:
-    """``state(node, label, strength, moved)`` after the nodes whose turn it is went where they gain most.
+    """``state(node, label, strength, turns, within, beside)`` after the nodes whose turn it is went where they gain most.
 
     Nodes take turns by a hash of their name and the round, so two that want each other's community don't both move, which
-    would swap them for ever. Ties go to the smaller label, and to staying before moving.
+    would swap them for ever. Ties go to the smaller label, and to staying before moving. Edges tell the nodes whose turn it is
+    of their neighbours' labels, an edge without such a node tells its first end. Of the communities before the moves, ``within``
+    sums up to the weight inside them, and ``beside`` to the squares of their strengths.
     """
+    its = lambda turns: F.getbit(turns, F.lit(turn % TURNS)) == 1
     totals = state.groupBy("label").agg(F.sum("strength").alias("total"))
-    at = state.select(F.col("node").alias("other"), "label")
-    votes = steps.join(at, "other").groupBy("node", "label").agg(F.sum("weight").alias("weight"))
-    mine = state.select("node", F.col("label").alias("own"), "strength")
-    stay = state.select("node", "label", F.lit(0.0).alias("weight"))
-    offers = votes.unionByName(stay).groupBy("node", "label").agg(F.sum("weight").alias("weight")).join(mine, "node").join(totals, "label")
-    without = F.col("total") - F.when(F.col("label") == F.col("own"), F.col("strength")).otherwise(0.0)
+    state = written(state.select("node", "label", "strength", "turns").join(totals, "label"), f"totals-{turn}")
+    at = state.select(F.col("node").alias("other"), "label", "total", its(F.col("turns")).alias("both")).hint("shuffle_hash")
+    told = steps.join(at, "other").withColumn("mine", its(F.col("turns"))).filter(F.col("mine") | (~F.col("both") & (F.col("node") < F.col("other"))))
+    votes = told.select("node", "label", "total", "weight", F.when(F.col("mine") & F.col("both"), F.col("weight") / 2).otherwise(F.col("weight")).alias("once"))
+    stay = state.select("node", "label", "total", F.lit(0.0).alias("weight"), F.lit(0.0).alias("once"))
+    offers = votes.unionByName(stay).repartition("node").groupBy("node", "label").agg(F.max("total").alias("total"), F.sum("weight").alias("weight"), F.sum("once").alias("once"))
+    offers = offers.join(state.select("node", F.col("label").alias("own"), "strength", "turns").hint("shuffle_hash"), "node")
+    home = F.col("label") == F.col("own")
+    without = F.col("total") - F.when(home, F.col("strength")).otherwise(0.0)
     gain = F.round(F.col("weight") - F.lit(resolution) * F.col("strength") * without / F.lit(every), DIGITS)
-    ranked = offers.select("node", "own", "strength", F.struct((-gain).alias("loss"), (F.col("label") != F.col("own")).alias("away"), "label").alias("offer"))
-    best = ranked.groupBy("node", "own", "strength").agg(F.min("offer").alias("best"))
-    turns = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-    label = F.when(turns, F.col("best.label")).otherwise(F.col("own"))
-    return best.select("node", label.alias("label"), "strength", (label != F.col("own")).alias("moved"))
-
-
-def _level(graph: DataFrame, every: float, rounds: int, gain: float, resolution: float) -> tuple[DataFrame, int]:
-    """The best labels of ``graph``'s nodes that the rounds came by, and the number of communities."""
-    steps = graph.filter("src <> tgt").select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("tgt").alias("other"), "weight"), F.struct(F.col("tgt").alias("node"), F.col("src").alias("other"), "weight"))).alias("s")).select("s.*")
-    steps = written(steps, "steps")
-    state = written(strengths(graph).select("node", F.col("node").alias("label"), "strength", F.lit(False).alias("moved")), "community-0")
-    named = lambda s: s.select(F.col("node").alias("entity_id"), "label")
-    best, reached, still = state, modularity(graph, named(state)), 0
-    for turn in range(1, rounds + 1):
-        state = written(_moves(steps, state, every, turn, resolution), f"community-{turn}")
-        moved = state.filter("moved").count()
-        found = modularity(graph, named(state)) if moved else reached
+    ranked = offers.filter(home | its(F.col("turns"))).select("node", "own", "strength", "turns", F.when(home, F.col("once")).alias("within"), F.when(home, F.col("total")).alias("beside"), F.struct((-gain).alias("loss"), (~home).alias("away"), "label").alias("offer"))
+    same = [F.first(c).alias(c) for c in ("own", "strength", "turns")]
+    best = ranked.groupBy("node").agg(F.min("offer").alias("best"), F.max("within").alias("within"), F.max("beside").alias("beside"), *same)
+    return best.select("node", F.col("best.label").alias("label"), "strength", "turns", "within", (F.col("strength") * F.col("beside")).alias("beside"))
+
+
+def _level(graph: DataFrame, names: DataFrame, every: float, rounds: int, gain: float, resolution: float) -> tuple[DataFrame, int]:
+    """The best labels of ``graph``'s nodes that the rounds came by, and the number of communities.
+
+    A round's votes say what modularity the round before had come by, so no join is made for that alone.
+    """
+    steps = _steps(graph, names)
+    loops = graph.filter("src = tgt").agg(F.sum("weight")).first()[0] or 0.0
+    state = strengths(graph).join(names.select(F.col("id").alias("node"), "turns"), "node").withColumn("label", F.col("node"))
+    state = written(state, "community-0")
+    best, reached, still = state, float("-inf"), 0
+    for turn in range(1, rounds + 2):
+        after = written(_moves(steps, state, every, turn, resolution), f"community-{turn}")
+        sums = after.agg(F.sum("within").alias("within"), F.sum("beside").alias("beside")).first()
+        found = 2.0 * (sums.within + loops) / every - sums.beside / every**2
         still = still + 1 if found < reached + gain else 0
         if found > reached:
             best, reached = state, found
         if still == 3:
             break
-    return named(best), best.select("label").distinct().count()
+        state = after
+    steps.unpersist()
+    return best.select(F.col("node").alias("entity_id"), "label"), best.select("label").distinct().count()
+
+
+def _numbered(names: DataFrame) -> DataFrame:
+    """``id, name, turns``: numbers in the order of the names, so that ties stay ties of names, and a bit for each round's turn."""
+    turns = [F.when(F.pmod(F.xxhash64("name", F.lit(turn)), F.lit(2)) == 0, F.lit(1 << turn % TURNS).cast("long")).otherwise(F.lit(0).cast("long")) for turn in range(1, TURNS + 1)]
+    placed = names.repartitionByRange("name").sortWithinPartitions("name").select(F.monotonically_increasing_id().alias("id"), "name")
+    return written(placed.withColumn("turns", reduce(lambda a, b: a.bitwiseOR(b), turns)), "names")
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 10, rounds: int = 16, gain: float = 1e-6, resolution: float = 1.0) -> DataFrame:
@@ -93,18 +122,22 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 10, rounds: int =
     nodes, until a level joins none. Each round is a written table, so lineage stays short and a lost executor costs one round.
     Repeated nodes count once, null ones not at all.
     """
-    graph = written(_whole(edges), "graph")
+    edges = written(edges.select("src", "tgt", "weight"), "edges")
+    names = _numbered(nodes.select(F.col("entity_id").alias("name")).union(edges.select(F.explode(F.array("src", "tgt")))).filter("name is not null").distinct())
+    numbered = edges
+    for side in ("src", "tgt"):
+        numbered = numbered.join(names.select(F.col("name").alias(side), F.col("id").alias(side + "_id")).hint("shuffle_hash"), side)
+    graph = written(_whole(numbered.select(F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), "weight")), "graph")
     every = 2.0 * (graph.agg(F.sum("weight")).first()[0] or 0.0)
-    names = nodes.select("entity_id").union(edges.select(F.explode(F.array("src", "tgt")))).filter("entity_id is not null").distinct()
-    held = written(names.withColumn("label", F.col("entity_id")), "labels")
-    if not every:
-        return held
-    size = strengths(graph).count()
-    for level in range(levels):
-        found, communities = _level(graph, every, rounds, gain, resolution)
-        if communities == size:
-            break
-        up = found.select(F.col("entity_id").alias("label"), F.col("label").alias("upper"))
-        held = written(held.join(up, "label", "left").select("entity_id", F.coalesce("upper", "label").alias("label")), f"labels-{level}")
-        graph, size = written(contracted(graph, found), f"graph-{level}"), communities
-    return held
+    held = names.select("id", F.col("id").alias("label"))
+    if every:
+        size = strengths(graph).count()
+        for level in range(levels):
+            found, communities = _level(graph, names, every, rounds, gain, resolution)
+            if communities == size:
+                break
+            up = found.select(F.col("entity_id").alias("label"), F.col("label").alias("upper"))
+            held = written(held.join(up, "label", "left").select("id", F.coalesce("upper", "label").alias("label")), f"labels-{level}")
+            graph, size = written(contracted(graph, found), f"graph-{level}"), communities
+    label = names.select(F.col("id").alias("label"), F.col("name").alias("named"))
+    return held.join(names, "id").join(label, "label").select(F.col("name").alias("entity_id"), F.col("named").alias("label"))

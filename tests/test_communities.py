@@ -113,3 +113,28 @@ def test_against_label_propagation(spark):
     rows = [(r.src, r.tgt, float(r.weight)) for r in edges.collect()]
     assert found >= communities.modularity(edges, graph.communities(edges))
     assert found >= 0.9 * plain(rows, one_by_one(rows, {n for e in rows for n in e[:2]}))
+
+
+def test_rounds_tell_the_modularity(spark, monkeypatch):
+    """Votes of a round say what the round before came by, so no round joins the graph to its labels again for that."""
+    r = random.Random(9)
+    edges = [(a, b, float(r.randint(1, 5))) for a in range(30) for b in range(a, 30) if r.random() < 0.3]
+    labels = {n: r.randint(0, 4) for n in range(30)}
+    graph_rows = spark.createDataFrame(edges, "src long, tgt long, weight double")
+    names = communities._numbered(spark.createDataFrame([(f"n{n:02}",) for n in range(30)], "name string"))
+    every = 2 * sum(w for *_, w in edges)
+    numbers = {x.id: i for i, x in enumerate(names.orderBy("name").collect())}
+    back = spark.createDataFrame([(i, n) for n, i in numbers.items()], "i long, n long")
+    for side in ("src", "tgt"):
+        graph_rows = graph_rows.join(back.withColumnsRenamed({"i": side, "n": "_n"}), side).drop(side).withColumnRenamed("_n", side)
+    own = back.join(spark.createDataFrame(list(labels.items()), "i long, label long"), "i").selectExpr("n as node", "label")
+    state = communities.strengths(graph_rows).join(names.selectExpr("id as node", "turns"), "node").join(own, "node")
+    for turn in (1, 2):
+        rows = communities._moves(communities._steps(graph_rows, names), state, every, turn, 1.0).collect()
+        assert len(rows) == len({n for e in edges for n in e[:2]})
+        within = sum(x.within for x in rows) + sum(w for a, b, w in edges if a == b)
+        assert 2 * within / every - sum(x.beside for x in rows) / every**2 == pytest.approx(plain(edges, labels))
+    monkeypatch.setattr(communities, "modularity", None)
+    named = [(f"n{a:02}", f"n{b:02}", w) for a, b, w in edges]
+    found = labels_of(communities.louvain(spark.createDataFrame([], "entity_id string"), spark.createDataFrame(named, EDGES)))
+    assert plain(named, found) > plain(named, {n: n for n in found})
