@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.text import FIELD_SEP
-from .graph import first_seen
 from .merge import merge_edges
 
 #: How the fields of merged entities are put together.
@@ -119,15 +118,21 @@ def relations_after_deletion(edges: DataFrame, records: DataFrame, gone: DataFra
     return edges.join(lost, ["src", "tgt"], "left_anti").select(*rebuilt.columns).unionByName(rebuilt)
 
 
+def _last(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key, without what it was ordered by."""
+    fields = [c for c in rows.columns if c not in key and c not in order]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("_row")).select(*key, "_row.*")
+
+
 def custom_graph(chunks: DataFrame, entities: DataFrame, relations: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a graph that is given: ``source_id`` becomes the chunk's id (``UNKNOWN`` without a chunk), the last
     row of a name or pair holds, and ends that no row names become nodes of type UNKNOWN.
     """
     of = chunks.select("source_id", "chunk_id").dropDuplicates(["source_id"])
     placed = lambda rows: rows.join(of, "source_id", "left").withColumn("source_id", F.coalesce("chunk_id", F.lit("UNKNOWN"))).drop("chunk_id")
-    last = [F.desc(c) for c in order]
-    nodes = first_seen(placed(entities), ["entity_id"], last).drop(*order)
-    edges = first_seen(placed(relations).withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")}), ["src", "tgt"], last).drop(*order)
+    # the last rows first, so that no others meet the chunks; names repeat and are reduced before they are shuffled, pairs rarely do
+    nodes = placed(_last(entities, ["entity_id"], order))
+    edges = placed(_last(relations.withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")}).repartition("src", "tgt"), ["src", "tgt"], order))
     ends = edges.select(F.explode(F.array("src", "tgt")).alias("entity_id"), "source_id").groupBy("entity_id").agg(F.min("source_id").alias("source_id"))
     missing = ends.join(nodes, "entity_id", "left_anti").withColumn("entity_type", F.lit("UNKNOWN"))
     return nodes.unionByName(missing, allowMissingColumns=True), edges
