@@ -88,7 +88,8 @@ def rename_entities(nodes: DataFrame, edges: DataFrame, renamed: DataFrame, edge
     ends = edges.withColumns({"_a": F.col("src"), "_b": F.col("tgt")})
     for side in ("src", "tgt"):
         ends = ends.join(names.withColumnsRenamed({"entity_id": side, "_new": "_n"}), side, "left").withColumn(side, F.coalesce("_n", side)).drop("_n")
-    ends = ends.filter("src <> tgt").withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")})
+    # dealt before they are merged, so that a task sorts its edges once, not also where they met the names
+    ends = ends.filter("src <> tgt").withColumns({"src": F.least("src", "tgt"), "tgt": F.greatest("src", "tgt")}).repartition("src", "tgt")
     return merged_attributes(moved, ["entity_id"], ["_moved", "_old"], ENTITY_STRATEGY), merged_attributes(ends, ["src", "tgt"], ["_a", "_b"], RELATION_STRATEGY).select(*edges.columns)
 
 
