@@ -22,6 +22,8 @@ from ..sources.shared import written
 
 #: More than rounding to six digits and the arithmetic of angles can move a similarity by.
 SLACK = 2e-6
+#: Products of matrices that one task makes of a shard and its block of queries.
+PRODUCTS = 8
 
 
 def usable(v: Column, dimension: int | None = None) -> Column:
@@ -78,7 +80,7 @@ def build(vectors: DataFrame, path: str, most_cells: int = 4096, sample_rows: in
     There are about as many cells as the square root of the rows, at most ``most_cells``.
     """
     spark = vectors.sparkSession
-    units = _units(vectors, "vec_id")
+    units = written(_units(vectors, "vec_id"), "units")
     found = units.agg(F.count("*").alias("n"), F.mode(F.size("v"), deterministic=True).alias("dimension")).first()
     index, rows = CellIndex(spark, path, shard_rows), []
     if found.n:
@@ -124,25 +126,36 @@ def _others(centroids: np.ndarray, low: np.ndarray, opened: int):
     return others
 
 
-def _scored(index: CellIndex, probes: DataFrame, k: int, threshold: float, digits: int, block_rows: int) -> DataFrame:
-    """The ``k`` best of each opened shard for ``probes(query_id, v, cell)``: blocks of queries against a shard, as one product of matrices."""
-    blocks = probes.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+def _scored(index: CellIndex, probes: DataFrame, k: int, digits: int, block_rows: int) -> DataFrame:
+    """The ``k`` best of each opened shard for ``probes(query_id, v, least, cell)``: blocks of queries against a shard, as products of matrices.
+
+    A block is several products, so that a shard is dealt to fewer blocks than there are products.
+    """
+    blocks = probes.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(PRODUCTS * block_rows)).cast("int").alias("blocks"))
     dealt = probes.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
     stats = F.broadcast(index.stats().select("batch", "cell", "shards"))
-    asked = dealt.join(stats, "cell").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("batch", "cell", "shard", "block", "query_id", "v")
+    asked = dealt.join(stats, "cell").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("batch", "cell", "shard", "block", "query_id", "v", "least")
     held = index.vectors().join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("batch", "cell", "shard", "block", "vec_id", "v")
 
     def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []}).astype({"query_id": "int64", "vec_id": "int64"})]
         if queries.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        ids = rows["vec_id"].to_numpy()
-        near = np.round(np.clip(np.stack(queries["v"].to_list()) @ np.stack(rows["v"].to_list()).T, -1.0, 1.0), digits)
-        out = []
-        for q, s in zip(queries["query_id"], near, strict=True):
-            at = np.lexsort((ids, -s))[:k] if len(ids) > k else np.arange(len(ids))
-            at = at[s[at] >= threshold]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "similarity": s[at]}))
-        return pd.concat(out)
+            return out[0]
+        ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_list()).T
+        for at in range(0, len(queries), block_rows):
+            some = queries.iloc[at : at + block_rows]
+            near = np.round(np.clip(np.stack(some["v"].to_list()) @ vectors, -1.0, 1.0), digits)
+            kept = near >= some["least"].to_numpy()[:, None]
+            many = np.flatnonzero(kept.sum(axis=1) > k)
+            if len(many):
+                kept[many] &= near[many] >= np.partition(near[many], len(ids) - k, axis=1)[:, [len(ids) - k]]
+            query, row = np.nonzero(kept)
+            order = np.lexsort((ids[row], -near[query, row], query))
+            query, row = query[order], row[order]
+            first = np.arange(len(query)) - np.searchsorted(query, query) < k
+            query, row = query[first], row[first]
+            out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[query], "vec_id": ids[row], "similarity": near[query, row]}))
+        return pd.concat(out[1:])
 
     keys = ["batch", "cell", "shard", "block"]
     return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, similarity double")
@@ -158,10 +171,10 @@ def search(index: CellIndex, queries: DataFrame, k: int = 10, probes: int = 8, e
     if not len(centroids):
         return index.spark.createDataFrame([], "query_id long, vec_id long, similarity double, ord int")
     asked = written(_units(queries, "query_id", centroids.shape[1]).select(F.col("query_id").cast("long").alias("query_id"), "v"), "queries")
-    first = asked.select("query_id", "v", F.explode(_nearest(centroids, probes)("v")["cells"]).alias("cell"))
+    first = asked.select("query_id", "v", F.lit(float(threshold)).alias("least"), F.explode(_nearest(centroids, probes)("v")["cells"]).alias("cell"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     top = lambda rows: rows.withColumn("ord", nth).filter(F.col("ord") <= k)
-    found = top(_scored(index, first, k, threshold, digits, block_rows))
+    found = top(_scored(index, first, k, digits, block_rows))
     if not exact:
         return found
     found = written(found, "found")
@@ -171,8 +184,8 @@ def search(index: CellIndex, queries: DataFrame, k: int = 10, probes: int = 8, e
     kth = found.groupBy("query_id").agg(F.max("ord").alias("n"), F.min("similarity").alias("least"))
     least = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float(threshold)))
     more = asked.join(kth, "query_id", "left").withColumn("least", least)
-    more = more.select("query_id", "v", F.explode(_others(centroids, low, probes)("v", "least")).alias("cell"))
-    return top(found.drop("ord").unionByName(_scored(index, more, k, threshold, digits, block_rows)))
+    more = more.select("query_id", "v", "least", F.explode(_others(centroids, low, probes)("v", "least")).alias("cell"))
+    return top(found.drop("ord").unionByName(_scored(index, more, k, digits, block_rows)))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

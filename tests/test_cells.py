@@ -67,3 +67,19 @@ def test_recall_on_embeddings(spark):
     d = "/root/testdata/sf0.01"
     exact, near = catalog.QUERIES["exact_search_by_cells"](spark, d), catalog.QUERIES["approximate_search_by_cells"](spark, d)
     assert cells.recall(near.filter("query_id <> vec_id"), exact.filter("query_id <> vec_id")) >= 0.9
+
+
+def test_shards_give_no_more_than_can_enter(spark, tmp_path):
+    """What lies under a query's ``least`` stays in its task, and ties are cut at ``k`` by id."""
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(60)] + [(100 + i, [1.0] * 8) for i in range(20)]
+    index = cells.build(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/least", most_cells=3, shard_rows=1000)
+    units = {i: np.array(v, dtype="float32").astype(float) / np.linalg.norm(np.array(v, dtype="float32").astype(float)) for i, v in rows}
+    least = {i: 0.1 * (i % 11) - 0.2 for i in units}
+    probes = spark.createDataFrame([(i, [float(x) for x in v], float(least[i]), c) for i, v in units.items() for c in range(len(index.centroids()))], "query_id long, v array<double>, least double, cell int")
+    got = {}
+    for x in cells._scored(index, probes, 5, 6, 7).collect():
+        got.setdefault(x.query_id, []).append((-x.similarity, x.vec_id))
+    for q, v in units.items():
+        best = sorted(x for x in ((-round(float(v @ u), 6), i) for i, u in units.items()) if -x[0] >= least[q])[:5]
+        assert sorted(got.get(q, []))[:5] == best and all(-s >= least[q] for s, _ in got.get(q, []))
