@@ -1,7 +1,7 @@
 """Contexts of many questions at once: what ``context`` does for one, with ``question_id`` as a key of every step.
 
 Hits are ``entity_hits(question_id, entity_id, ord)``, ``relation_hits(question_id, src, tgt, ord)`` and ``chunk_hits(question_id,
-chunk_id, ord)``. All is one lazy plan: questions are put in order side by side, each in its own window, and what
+chunk_id, ord)``. What the budgets leave is written, the rest is one lazy plan: questions are put in order side by side, each in its own window, and what
 a window sorts is bounded by the budgets and the hits of one question. Only edges at the hits are ranked, by the degrees of their ends.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import linear_quota
 from ..functions.text import FIELD_SEP, tokens
+from ..sources.shared import in_threads, written
 from .context import MODES, Budgets
 from .graph import first_seen, incident
 
@@ -111,7 +112,10 @@ def retrieve_many(mode: str, *, nodes: DataFrame, edges: DataFrame, entity_sourc
         found.append(ends_of_edges(linked[-1], nodes))
     entities = truncated(interleaved(found, ["entity_id"], columns), {"entity": "entity_id", "type": "entity_type", "description": "description"}, budgets.entities)
     relations = truncated(interleaved(linked, ["src", "tgt"], pair), {"entity1": "src", "entity2": "tgt", "description": "description"}, budgets.relations)
+    # what the budgets leave is small and read by polling, the room for chunks and the rows
+    entities, relations = in_threads(lambda x: written(*x), [(entities, "entities"), (relations, "relations")])
     of_entities = polled(entities, entity_sources, ["entity_id"], budgets.related_chunks)
+    of_entities = written(of_entities, "polled")
     of_relations = polled(relations, relation_sources, ["src", "tgt"], budgets.related_chunks, without=of_entities)
     lists = [*([chunk_hits] if mode == "mix" else []), of_entities, of_relations]
     used = entities.select(Q, "tokens").unionByName(relations.select(Q, "tokens")).groupBy(Q).agg((F.lit(room) - F.sum("tokens")).alias("_left"))
