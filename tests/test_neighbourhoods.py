@@ -60,3 +60,14 @@ def test_only_the_first_neighbours_are_followed(spark, monkeypatch):
         assert [(x.entity_id, x.depth) for x in sorted(got, key=lambda x: x.place) if x.start == s] == want
     assert all(x.is_truncated for x in got)
     assert max(n for label, n in sizes.items() if label != "steps") <= 10 * len(adjacent)
+
+
+def test_one_step_follows_the_starts_only(spark, monkeypatch):
+    kept = {}
+    write = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: kept.setdefault(label, write(df, label)))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(1, 9)], "src string, tgt string, weight double")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(1, 10)], "entity_id string")
+    got = graph.neighbourhoods(nodes, edges, spark.createDataFrame([("n3",)], "entity_id string"), 1, 5)
+    assert [(x.entity_id, x.place) for x in got.orderBy("place").collect()] == [("n3", 1), ("n2", 2), ("n4", 3)]
+    assert {x.node for x in kept["ways"].collect()} == {"n3"}
