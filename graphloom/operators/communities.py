@@ -6,8 +6,11 @@ Weights that are null or not above zero take no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,17 +74,54 @@ def _moves(steps: DataFrame, state: DataFrame, every: float, turn: int, resoluti
     state = written(state.select("node", "label", "strength", "turns").join(totals, "label"), f"totals-{turn}")
     at = state.select(F.col("node").alias("other"), "label", "total", its(F.col("turns")).alias("both")).hint("shuffle_hash")
     told = steps.join(at, "other").withColumn("mine", its(F.col("turns"))).filter(F.col("mine") | (~F.col("both") & (F.col("node") < F.col("other"))))
-    votes = told.select("node", "label", "total", "weight", F.when(F.col("mine") & F.col("both"), F.col("weight") / 2).otherwise(F.col("weight")).alias("once"))
-    stay = state.select("node", "label", "total", F.lit(0.0).alias("weight"), F.lit(0.0).alias("once"))
-    offers = votes.unionByName(stay).repartition("node").groupBy("node", "label").agg(F.max("total").alias("total"), F.sum("weight").alias("weight"), F.sum("once").alias("once"))
-    offers = offers.join(state.select("node", F.col("label").alias("own"), "strength", "turns").hint("shuffle_hash"), "node")
-    home = F.col("label") == F.col("own")
-    without = F.col("total") - F.when(home, F.col("strength")).otherwise(0.0)
-    gain = F.round(F.col("weight") - F.lit(resolution) * F.col("strength") * without / F.lit(every), DIGITS)
-    ranked = offers.filter(home | its(F.col("turns"))).select("node", "own", "strength", "turns", F.when(home, F.col("once")).alias("within"), F.when(home, F.col("total")).alias("beside"), F.struct((-gain).alias("loss"), (~home).alias("away"), "label").alias("offer"))
-    same = [F.first(c).alias(c) for c in ("own", "strength", "turns")]
-    best = ranked.groupBy("node").agg(F.min("offer").alias("best"), F.max("within").alias("within"), F.max("beside").alias("beside"), *same)
-    return best.select("node", F.col("best.label").alias("label"), "strength", "turns", "within", (F.col("strength") * F.col("beside")).alias("beside"))
+    none, its_own = F.lit(None).cast("double"), F.when(F.col("mine") & F.col("both"), F.col("weight") / 2).otherwise(F.col("weight"))
+    votes = told.select("node", "label", "total", "weight", its_own.alias("once"), none.alias("strength"), F.lit(0).cast("long").alias("turns"))
+    stay = state.select("node", "label", "total", F.lit(0.0).alias("weight"), F.lit(0.0).alias("once"), "strength", "turns")
+    offers = votes.unionByName(stay).repartition("node").sortWithinPartitions("node")
+    return offers.mapInArrow(_chosen(every, turn % TURNS, resolution), "node long, label long, strength double, turns long, within double, beside double")
+
+
+def _chosen(every: float, turn: int, resolution: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``_moves`` makes of votes and one row of its own for each node (with ``strength``), which come by node as a stream.
+
+    A node's votes are added up by label; only those of a batch's last node, so far, are held until the next.
+    """
+
+    def added(node, label, total, weight, once, strength, turns):
+        order = np.lexsort((label, node))
+        node, label = node[order], label[order]
+        at = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (label[1:] != label[:-1])])
+        most = (np.maximum.reduceat(total[order], at), np.add.reduceat(weight[order], at), np.add.reduceat(once[order], at))
+        return [node[at], label[at], *most, np.fmax.reduceat(strength[order], at), np.maximum.reduceat(turns[order], at)]
+
+    def moved(node, label, total, weight, once, strength, turns):
+        at = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        home, size = ~np.isnan(strength), np.diff(np.r_[at, len(node)])
+        own, turns = np.fmax.reduceat(strength, at), np.maximum.reduceat(turns, at)
+        strong = np.repeat(own, size)
+        gain = np.round(weight - resolution * strong * (total - np.where(home, strong, 0.0)) / every, DIGITS)
+        gain = np.where(home | (np.repeat(turns >> turn & 1, size) == 1), gain, -np.inf)
+        best = gain == np.repeat(np.maximum.reduceat(gain, at), size)
+        # numbers of labels aren't negative: -1 is to stay
+        to = np.minimum.reduceat(np.where(best, np.where(home, -1, label), np.iinfo(np.int64).max), at)
+        columns = (node[at], np.where(to < 0, label[home], to), own, turns, once[home], own * total[home])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "label", "strength", "turns", "within", "beside"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            rows = added(*(rows if held is None else map(np.concatenate, zip(held, rows, strict=True))))
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [c[last:] for c in rows]
+            if last:
+                yield moved(*(c[:last] for c in rows))
+        if held is not None:
+            yield moved(*held)
+
+    return choose
 
 
 def _level(graph: DataFrame, names: DataFrame, every: float, rounds: int, gain: float, resolution: float) -> tuple[DataFrame, int]:
