@@ -20,7 +20,7 @@ def merge_outputs(outputs: DataFrame, store: TableStore, batch: int, rules: stat
     chunks, cache = outputs.select("chunk_id", "doc_id", "file_path").dropDuplicates(["chunk_id"]), outputs.select("chunk_id", "output", "time").dropDuplicates(["chunk_id", "time"])
     graph = {n: store.read(n) for n in state.SCHEMAS}
     changes = state.merge_batch(graph, *state.cached_records(cache, chunks), batch, rules)
-    return store.commit(batch, changes | {"chunks": written(chunks, "chunks"), "cache": written(cache, "cache")})
+    return store.commit(batch, changes | {"chunks": written(chunks, "chunks"), "cache": written(cache, "cache")}, new=state.TRACKING)
 
 
 def merge_stream(stream: DataFrame, store: TableStore, checkpoint: str, rules: state.Rules | None = None) -> StreamingQuery:
